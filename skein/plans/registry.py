@@ -45,6 +45,7 @@ def expand(sql: str) -> str:
     body = sql.strip()
     if not head:
         return body
-    if body.upper().startswith("WITH "):
-        return f"WITH {head},\n{body[5:]}"
+    for lead in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(lead):
+            return f"{lead}{head},\n{body[len(lead):]}"
     return f"WITH {head}\n{body}"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,16 +27,29 @@ def build_session(app: str = "skein", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of `spark.checkpoint.dir`.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach, from `spark.checkpoint.dir`.
 
-    A job that reuses one result several times calls this once so that a lost
-    executor re-reads files instead of replaying the whole plan.
+    A local session without the setting gets a temporary folder; a cluster
+    session must name one.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    folder = tempfile.mkdtemp(prefix="skein-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result once and read it back.
+
+    For results that several branches of a plan use: the costly part runs once,
+    later branches read only the columns they need, and a lost executor re-reads
+    files instead of replaying the plan.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from skein.functions import content as C
 from skein.functions import text as X
 from skein.operators import sessions as S
 from skein.operators.ordered import chunk_of, ordinal
-from skein.plans.adapters import TEST_WORDS, WORDS_RE, Tables, stamp
+from skein.plans.adapters import Tables, stamp
 from skein.plans.registry import query
 from skein.sources import transcripts as R
 
@@ -152,16 +152,14 @@ def project_counts(t: Tables) -> DataFrame:
 
 @query(
     "exclude_private",
-    f"""SELECT session_id, msg_index, text FROM a_msg WHERE session_id NOT IN (
-      SELECT session_id FROM a_msg WHERE regexp_matches(text, '{WORDS_RE}', 'i')
-        AND msg_index % 3 = 0 OR cwd LIKE '%/p3' OR project = 'p5')""",
+    r"""SELECT session_id, msg_index, text FROM a_msg WHERE session_id NOT IN (
+      SELECT session_id FROM a_msg WHERE regexp_matches(text, '(?:^|[^A-Za-z0-9_])(?:avec|mit|y)(?:$|[^A-Za-z0-9_])', 'i')
+        OR cwd LIKE '%/p3' OR project = 'p5')""",
 )
 def exclude_private(t: Tables) -> DataFrame:
-    spoken = t.a_msg.filter("msg_index % 3 = 0")
-    words = [X.whole_words(TEST_WORDS)]
-    by_text = S.private_sessions(spoken, spoken.select("session_id", "cwd"), words)
-    by_place = S.private_sessions(t.a_msg, t.a_msg.select("session_id", "cwd"), (), [r"/p3$"], ["^p5$"])
-    private = by_text.union(by_place).distinct()
+    private = S.private_sessions(
+        t.a_msg, t.a_msg.select("session_id", "cwd"), [X.whole_words(["avec", "mit", "y"])], [r"/p3$"], ["^p5$"]
+    )
     return S.without_sessions(t.a_msg, private).select("session_id", "msg_index", "text")
 
 

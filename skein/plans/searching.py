@@ -205,8 +205,7 @@ def snippets(t: Tables) -> DataFrame:
 
 @query(
     "read_window",
-    """WITH req AS (SELECT session_id || ':' || msg_index AS request_id, session_id, msg_index + 1 AS target FROM a_msg
-        WHERE msg_index % 3 = 0),
+    """WITH req AS (SELECT session_id || ':' || msg_index AS request_id, session_id, msg_index + 1 AS target FROM a_msg),
     near AS (SELECT r.request_id, r.session_id, target, m.msg_index,
         CASE WHEN user_text <> '' THEN 'user' ELSE 'assistant' END AS role, m.text,
         row_number() OVER (PARTITION BY request_id ORDER BY m.msg_index) AS rn,
@@ -222,7 +221,7 @@ def snippets(t: Tables) -> DataFrame:
     FROM spent WHERE turn = 1 OR remain > 0""",
 )
 def read_window(t: Tables) -> DataFrame:
-    requests = t.a_msg.filter("msg_index % 3 = 0").select(
+    requests = t.a_msg.select(
         F.concat_ws(":", "session_id", "msg_index").alias("request_id"), "session_id",
         (F.col("msg_index") + 1).alias("target"),
     )

@@ -12,12 +12,14 @@ class Rule(NamedTuple):
     name: str
     pattern: str
     replacement: str
-    guard: str | None = None  # cheap forward pattern that holds exactly when `pattern` occurs
+    guard: str | None = None  # cheap forward pattern that holds whenever `pattern` occurs
 
 
 # Categories, patterns and replacements, applied in this order.
 # Secrets behind a keyword start with two one-step checks, so the look-behind
-# runs only where a long token begins.
+# runs only where a long token begins. Java needs a bound inside a look-behind
+# (an unbounded one compiles but misses matches near the start of a text), so up
+# to 1000 blanks may stand between keyword and secret.
 RULES = (
     Rule("Anthropic API key", r"sk-ant-[a-zA-Z0-9_-]{20,}", "[REDACTED_ANTHROPIC_KEY]"),
     Rule("OpenAI API key", r"sk-proj-[a-zA-Z0-9_-]{20,}", "[REDACTED_OPENAI_KEY]"),
@@ -25,14 +27,14 @@ RULES = (
     Rule("AWS access key", r"AKIA[0-9A-Z]{16}", "[REDACTED_AWS_KEY]"),
     Rule(
         "AWS secret key",
-        r"(?=[A-Za-z0-9/+=]{40})(?<=AWS_SECRET_ACCESS_KEY[=:]\s*)[A-Za-z0-9/+=]{40}",
+        r"(?=[A-Za-z0-9/+=]{40})(?<=AWS_SECRET_ACCESS_KEY[=:]\s{0,1000})[A-Za-z0-9/+=]{40}",
         "[REDACTED_AWS_SECRET]",
         r"AWS_SECRET_ACCESS_KEY[=:]\s*[A-Za-z0-9/+=]{40}",
     ),
     Rule("GitHub token", r"gh[ps]_[A-Za-z0-9_]{36,}", "[REDACTED_GITHUB_TOKEN]"),
     Rule(
         "Generic secret",
-        r"(?<=[=:\s\"'])(?=[A-Za-z0-9_\-]{20})(?<=(?i:secret|token|password|api_key|apikey|auth)[=:]\s*[\"']?)"
+        r"(?<=[=:\s\"'])(?=[A-Za-z0-9_\-]{20})(?<=(?i:secret|token|password|api_key|apikey|auth)[=:]\s{0,1000}[\"']?)"
         r"[A-Za-z0-9_\-]{20,}",
         "[REDACTED_SECRET]",
         r"(?i:secret|token|password|api_key|apikey|auth)[=:]\s*[\"']?[A-Za-z0-9_\-]{20,}",

@@ -22,26 +22,22 @@ LENGTH_UNIT, LENGTH_CAP = 100, 10
 SOURCE_FILE, DOC_FILE, CONFIG_FILE = r"\.(ts|tsx|js|jsx)$", r"\.md$", r"package\.json|tsconfig"
 BUILD_WORDS = "test|build|npm|yarn"
 
-COLUMNS = ("session_id", "msg_index", "block_no", "type", "content", "context", "file_path", "tool_name")
-
+INPUT_SCHEMA = "file_path string, content string, new_string string, command string, description string"
 
 def explode_blocks(entries: DataFrame) -> DataFrame:
     """Blocks of parsed entries with unpacked tool input; plain user text becomes one block.
 
     `entries(session_id, msg_index, type, plain, blocks)`.
     """
-    b, inp = F.col("b"), F.col("b.input")
+    b, i = F.col("b"), F.col("i")
     e = entries.select("session_id", "msg_index", F.col("type").alias("speaker"), "plain", F.posexplode_outer("blocks").alias("block_no", "b"))
+    e = e.withColumn("i", F.from_json("b.input", INPUT_SCHEMA))
     return e.select(
         "session_id", "msg_index", F.coalesce("block_no", F.lit(0)).alias("block_no"), "speaker",
         F.when(b.isNull() & F.col("plain").isNotNull(), "plain").otherwise(b["type"]).alias("kind"),
         F.coalesce(b["text"], F.when(b.isNull(), F.col("plain"))).alias("text"),
-        b["name"].alias("tool"),
-        F.get_json_object(inp, "$.file_path").alias("file_path"),
-        F.get_json_object(inp, "$.content").alias("written"),
-        F.get_json_object(inp, "$.new_string").alias("edited"),
-        F.get_json_object(inp, "$.command").alias("command"),
-        F.get_json_object(inp, "$.description").alias("description"),
+        b["name"].alias("tool"), i["file_path"].alias("file_path"), i["content"].alias("written"),
+        i["new_string"].alias("edited"), i["command"].alias("command"), i["description"].alias("description"),
         F.coalesce(b["is_error"], F.lit(False)).alias("is_error"),
         F.coalesce(b["content"], F.lit("")).alias("result"),
         b["tool_use_id"].alias("tool_use_id"),

@@ -7,10 +7,11 @@ corpus table and never joins back to the documents.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
@@ -30,7 +31,9 @@ DOC = ("session_id", "msg_index")
 
 
 class Index(NamedTuple):
-    postings: DataFrame  # session_id, msg_index, field, term, tf, positions, dl
+    """`postings` has one row per (term, message): `tf_<field>` counts, positions, message length."""
+
+    postings: DataFrame  # term, session_id, msg_index, dl, tf_<field>..., positions ARRAY<STRUCT<field, pos>>
     corpus: DataFrame  # one row: docs, avgdl
 
 
@@ -41,24 +44,29 @@ def _field_tokens(field: str, stem: bool) -> Column:
 
 def tokenised(messages: DataFrame, fields: Sequence[str] = tuple(WEIGHTS), stem: bool = True) -> DataFrame:
     """Token arrays per field and the document length over all fields."""
-    arrays = messages.select(*DOC, *[_field_tokens(f, stem).alias(f) for f in fields])
+    toks = F.struct(*[_field_tokens(f, stem).alias(f) for f in fields])
+    # a one-element explode, so that later uses of the arrays do not tokenise again
+    arrays = messages.select(*DOC, F.explode(F.array(toks)).alias("t")).select(*DOC, "t.*")
     length = sum((F.size(f) for f in fields[1:]), F.size(fields[0]))
     return arrays.withColumn("dl", length.cast("long"))
 
 
+def _tagged(field: str) -> Column:
+    return F.transform(
+        field, lambda t, i: F.struct(F.lit(field).alias("field"), t.alias("term"), i.alias("pos"))
+    )
+
+
 def build_index(messages: DataFrame, fields: Sequence[str] = tuple(WEIGHTS), stem: bool = True) -> Index:
     docs = tokenised(messages, fields, stem)
-    tagged = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("tokens")) for f in fields])
-    occurrences = (
-        docs.select(*DOC, "dl", F.explode(tagged).alias("f"))
-        .select(*DOC, "dl", F.col("f.field").alias("field"), F.posexplode("f.tokens").alias("pos", "term"))
-    )
-    # all occurrences of a (document, term) sit in one input row, so this combines before the shuffle
-    postings = occurrences.groupBy("term", "field", *DOC, "dl").agg(
-        F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")
+    tagged = F.flatten(F.array(*[_tagged(f) for f in fields]))
+    occurrences = docs.select(*DOC, "dl", F.inline(tagged))
+    # all occurrences of a (term, message) sit in one input row, so this combines before the shuffle
+    postings = occurrences.groupBy("term", *DOC, "dl").agg(
+        *[F.count_if(F.col("field") == f).alias(f"tf_{f}") for f in fields],
+        F.array_sort(F.collect_list(F.struct("field", "pos"))).alias("positions"),
     )
-    corpus = docs.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    return Index(postings.select(*DOC, "field", "term", "tf", "positions", "dl"), corpus)
+    return Index(postings, docs.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl")))
 
 
 def write_index(index: Index, folder: str, buckets: int = 64) -> None:
@@ -73,14 +81,12 @@ def write_index(index: Index, folder: str, buckets: int = 64) -> None:
     index.corpus.write.mode("overwrite").parquet(f"{folder}/corpus")
 
 
-def read_index(spark, folder: str) -> Index:
+def read_index(spark: SparkSession, folder: str) -> Index:
     return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/corpus"))
 
 
 def query_terms(words: Sequence[str], stem: bool = True) -> list[str]:
     """Folded, optionally stemmed, distinct query terms. `words` are single tokens."""
-    import unicodedata
-
     plain = (
         "".join(ch for ch in unicodedata.normalize("NFD", w.lower()) if not unicodedata.combining(ch))
         for w in words
@@ -88,11 +94,18 @@ def query_terms(words: Sequence[str], stem: bool = True) -> list[str]:
     return list(dict.fromkeys(porter(w) if stem else w for w in plain))
 
 
+def _fields(index: Index) -> list[str]:
+    return [c.removeprefix("tf_") for c in index.postings.columns if c.startswith("tf_")]
+
+
+def _tf(index: Index) -> Column:
+    return sum((F.col(f"tf_{f}") for f in _fields(index)[1:]), F.col(f"tf_{_fields(index)[0]}"))
+
+
 def term_stats(index: Index) -> DataFrame:
-    """Documents and occurrences of each term."""
-    per_doc = index.postings.groupBy("term", *DOC).agg(F.sum("tf").alias("tf"))
-    return per_doc.groupBy("term").agg(
-        F.count("*").alias("df"), F.sum("tf").cast("long").alias("occurrences")
+    """Messages and occurrences of each term."""
+    return index.postings.groupBy("term").agg(
+        F.count("*").alias("df"), F.sum(_tf(index)).cast("long").alias("occurrences")
     )
 
 
@@ -100,23 +113,70 @@ def _of_terms(index: Index, terms: Sequence[str]) -> DataFrame:
     return index.postings.filter(F.col("term").isin(list(terms)))
 
 
+def _weighted(index: Index, weights: Mapping[str, float]) -> Column:
+    return sum((F.col(f"tf_{f}") * float(weights.get(f, 0.0)) for f in _fields(index)), F.lit(0.0))
+
+
+def _idf(docs: Column, df: Column) -> Column:
+    return F.greatest(F.log((docs - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
+
+
+def _gain(idf: Column, wtf: Column, dl: Column, avgdl: Column) -> Column:
+    return idf * wtf * (K1 + 1) / (wtf + K1 * (1 - B + B * dl / avgdl))
+
+
+def _corpus(index: Index) -> tuple[Column, Column]:
+    """Message count and average length as one scalar subquery."""
+    one = index.corpus.select(F.struct("docs", "avgdl")).scalar()
+    return one["docs"], one["avgdl"]
+
+
 def bm25(index: Index, terms: Sequence[str], weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
     """Score of every message that holds a query term; larger is better.
 
     Changing `weights` needs no new index.
     """
-    weight = F.lit(0.0)
-    for name, value in weights.items():
-        weight = F.when(F.col("field") == name, F.lit(float(value))).otherwise(weight)
-    docs = index.corpus.select("docs").scalar()
-    avgdl = index.corpus.select("avgdl").scalar()
-    hits = _of_terms(index, terms).groupBy("term", *DOC, "dl").agg(F.sum(weight * F.col("tf")).alias("wtf"))
-    df = _of_terms(index, terms).groupBy("term").agg(F.count_distinct(*DOC).alias("df"))
-    idf = F.greatest(F.log((docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    docs, avgdl = _corpus(index)
+    hits = _of_terms(index, terms)
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
     # one row per query term, so the size is bounded by the query itself
-    weighted = hits.join(F.broadcast(df.select("term", idf.alias("idf"))), "term")
-    norm = F.col("wtf") + K1 * (1 - B + B * F.col("dl") / avgdl)
-    return weighted.groupBy(*DOC).agg(F.sum(F.col("idf") * F.col("wtf") * (K1 + 1) / norm).alias("score"))
+    idf = F.broadcast(df.select("term", _idf(docs, F.col("df")).alias("idf")))
+    scored = hits.select("term", *DOC, "dl", _weighted(index, weights).alias("wtf")).join(idf, "term")
+    gain = _gain(F.col("idf"), F.col("wtf"), F.col("dl"), avgdl)
+    return scored.groupBy(*DOC).agg(F.sum(gain).alias("score"))
+
+
+def bm25_scan(
+    messages: DataFrame, terms: Sequence[str], weights: Mapping[str, float] = WEIGHTS, stem: bool = True
+) -> DataFrame:
+    """The same scores straight from messages, for archives without a stored index.
+
+    Two passes without a shuffle of tokens: the first reduces to one row (message
+    count, average length, messages per term), the second scores each message.
+    """
+    terms = list(dict.fromkeys(terms))
+    docs = tokenised(messages, tuple(weights), stem)
+
+    wanted = [
+        F.filter(f, lambda x: x.isin(terms)).alias(f) for f in weights
+    ]
+    few = docs.select(*DOC, F.explode(F.array(F.struct("dl", *wanted))).alias("d"))
+
+    def tf(field: str, term: str) -> Column:
+        return F.size(F.filter(F.col(f"d.{field}"), lambda t: t == term))
+
+    wtf = [sum((tf(f, term) * float(w) for f, w in weights.items()), F.lit(0.0)) for term in terms]
+    facts = few.select(*DOC, F.explode(F.array(F.struct("d.dl", F.array(*wtf).alias("wtf")))).alias("d"))
+    seen = facts.agg(
+        F.count("*").alias("docs"), F.avg("d.dl").alias("avgdl"),
+        F.array(*[F.count_if(F.col("d.wtf")[i] > 0) for i in range(len(terms))]).alias("df"),
+    )
+    one = seen.select(F.struct("docs", "avgdl", "df")).scalar()
+    gains = [
+        _gain(_idf(one["docs"], one["df"][i]), F.col("d.wtf")[i], F.col("d.dl"), one["avgdl"]) for i in range(len(terms))
+    ]
+    hit = F.exists("d.wtf", lambda x: x > 0)
+    return facts.filter(hit).select(*DOC, sum(gains[1:], gains[0]).alias("score"))
 
 
 def search_sessions(
@@ -128,8 +188,13 @@ def search_sessions(
     weights: Mapping[str, float] = WEIGHTS,
 ) -> DataFrame:
     """Best message of each session with session metadata, best sessions first."""
-    scored = bm25(index, terms, weights).withColumn("score", F.round("score", 6))
-    best = scored.groupBy("session_id").agg(
+    return best_sessions(bm25(index, terms, weights), sessions, limit, sources)
+
+
+def best_sessions(
+    scores: DataFrame, sessions: DataFrame, limit: int = 10, sources: Sequence[str] | None = None
+) -> DataFrame:
+    best = scores.withColumn("score", F.round("score", 6)).groupBy("session_id").agg(
         F.max("score").alias("score"),
         F.max_by("msg_index", F.struct("score", -F.col("msg_index"))).alias("best_msg_index"),
     )
@@ -141,23 +206,15 @@ def search_batch(
     index: Index, queries: DataFrame, weights: Mapping[str, float] = WEIGHTS, k: int = 10
 ) -> DataFrame:
     """Many queries at once: `queries(query_id, term)` to the top `k` sessions of each."""
-    weight = F.lit(0.0)
-    for name, value in weights.items():
-        weight = F.when(F.col("field") == name, F.lit(float(value))).otherwise(weight)
-    docs = index.corpus.select("docs").scalar()
-    avgdl = index.corpus.select("avgdl").scalar()
+    docs, avgdl = _corpus(index)
     wanted = queries.select("query_id", "term").distinct()
-    asked = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    hits = asked.groupBy("term", *DOC, "dl").agg(F.sum(weight * F.col("tf")).alias("wtf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    norm = F.col("wtf") + K1 * (1 - B + B * F.col("dl") / avgdl)
-    plan = wanted.join(df.select("term", idf.alias("idf")), "term")
-    scored = (
-        hits.join(plan, "term")
-        .groupBy("query_id", *DOC)
-        .agg(F.round(F.sum(F.col("idf") * F.col("wtf") * (K1 + 1) / norm), 6).alias("score"))
+    hits = index.postings.join(wanted.select("term").distinct(), "term", "left_semi").select(
+        "term", *DOC, "dl", _weighted(index, weights).alias("wtf")
     )
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    plan = wanted.join(df.select("term", _idf(docs, F.col("df")).alias("idf")), "term")
+    gain = _gain(F.col("idf"), F.col("wtf"), F.col("dl"), avgdl)
+    scored = hits.join(plan, "term").groupBy("query_id", *DOC).agg(F.round(F.sum(gain), 6).alias("score"))
     best = scored.groupBy("query_id", "session_id").agg(
         F.max("score").alias("score"),
         F.max_by("msg_index", F.struct("score", -F.col("msg_index"))).alias("best_msg_index"),
@@ -176,17 +233,14 @@ def match_boolean(
         raise ValueError("a search needs a required or an optional term")
 
     def present(terms: Sequence[str]) -> Column:
-        return F.count_distinct(F.when(F.col("term").isin(list(terms)), F.col("term")))
+        return F.count_if(F.col("term").isin(list(terms))) if terms else F.lit(0)
 
-    named = [*all_of, *any_of, *none_of]
-    got = _of_terms(index, named).groupBy(*DOC).agg(
-        present(all_of or [""]).alias("n_all"),
-        present(any_of or [""]).alias("n_any"),
-        present(none_of or [""]).alias("n_none"),
-    )
     cond = (F.col("n_all") == len(set(all_of))) & (F.col("n_none") == 0)
     if any_of:
         cond = cond & (F.col("n_any") > 0)
+    got = _of_terms(index, [*all_of, *any_of, *none_of]).groupBy(*DOC).agg(
+        present(all_of).alias("n_all"), present(any_of).alias("n_any"), present(none_of).alias("n_none")
+    )
     return got.filter(cond).select(*DOC)
 
 
@@ -197,12 +251,10 @@ def match_phrase(index: Index, phrase: Sequence[str]) -> DataFrame:
     where every word agrees; no pairs of postings are formed.
     """
     places = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(i).alias("i")) for i, w in enumerate(phrase)])
-    slots = _of_terms(index, phrase).select(
-        *DOC, "field", "term", "positions", F.explode(places).alias("p")
-    ).filter(F.col("p.w") == F.col("term"))
-    starts = slots.select(
-        *DOC, "field", F.col("p.i").alias("i"), F.explode("positions").alias("pos")
-    ).withColumn("start", F.col("pos") - F.col("i"))
+    hits = _of_terms(index, phrase).select(*DOC, "term", F.inline("positions"))
+    starts = hits.select("*", F.explode(places).alias("p")).filter(F.col("p.w") == F.col("term")).select(
+        *DOC, "field", (F.col("pos") - F.col("p.i")).alias("start")
+    )
     full = starts.groupBy(*DOC, "field", "start").agg(F.count("*").alias("n")).filter(
         F.col("n") == len(phrase)
     )
@@ -211,10 +263,12 @@ def match_phrase(index: Index, phrase: Sequence[str]) -> DataFrame:
 
 def match_field(index: Index, field: str, terms: Sequence[str]) -> DataFrame:
     """Documents that hold every term in one field."""
-    hits = _of_terms(index, terms).filter(F.col("field") == field)
+    tf = F.col(f"tf_{field}")
     return (
-        hits.groupBy(*DOC)
-        .agg(F.count_distinct("term").alias("n"), F.sum("tf").cast("long").alias("occurrences"))
+        _of_terms(index, terms)
+        .filter(tf > 0)
+        .groupBy(*DOC)
+        .agg(F.count("*").alias("n"), F.sum(tf).cast("long").alias("occurrences"))
         .filter(F.col("n") == len(set(terms)))
         .select(*DOC, "occurrences")
     )
@@ -258,8 +312,6 @@ def read_windows(
     messages on (session, chunk), so a long session spreads over many tasks,
     and each window ranks at most `2 * radius + 1` rows.
     """
-    from pyspark.sql import Window
-
     budget = max_tokens * X.CHARS_PER_TOKEN
     lo, hi = F.greatest(F.col("target") - radius, F.lit(0)), F.col("target") + radius
     spread = requests.select(

@@ -118,31 +118,28 @@ def carry_errors(entries: DataFrame) -> DataFrame:
         {"slot": F.when(is_message, 1).otherwise(0).cast("long")},
     )
     slot = F.when(is_message, F.col("slot") - 1).otherwise(F.col("slot"))
-    counted = counted.withColumn("slot", slot)
+    # messages, error facts, error texts and positions all start here
+    counted = materialise(counted.withColumn("slot", slot), "slots")
     messages = counted.filter(is_message)
     errors = counted.filter(~is_message & (F.col("text") != "")).select(
         "session_id", "slot", "line_no", F.concat(F.lit(ERROR_PREFIX), "text").alias("piece")
     )
-    facts = errors.groupBy("session_id", "slot").agg(
+    keys = ["session_id", "slot"]
+    facts = errors.groupBy(*keys).agg(
         F.count("*").alias("n_errors"),
         F.sum(F.length("piece")).alias("error_chars"),
         F.max(corrects(F.col("piece"))).alias("e_corrects"),
         F.max(pivots(F.col("piece"))).alias("e_pivots"),
     )
-    head = top_k(errors, ["session_id", "slot"], [F.col("line_no")], _ERRORS_KEPT, "_n")
-    shown = head.groupBy("session_id", "slot").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("_n", F.left("piece", F.lit(CONTENT_LIMIT)).alias("piece")))),
-                lambda e: e["piece"],
-            ),
-            "",
-        ).alias("e_text")
-    )
-    m = messages.join(facts, ["session_id", "slot"], "left").join(shown, ["session_id", "slot"], "left")
+    head = top_k(errors, keys, [F.col("line_no")], _ERRORS_KEPT, "_n")
+    pieces = F.array_sort(F.collect_list(F.struct("_n", F.left("piece", F.lit(CONTENT_LIMIT)).alias("piece"))))
+    shown = head.groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda e: e["piece"]), "").alias("e_text"))
+    told = messages.filter(X.has_text("text")).select(*keys).unionByName(errors.select(*keys)).distinct()
+    placed = ordinal(told, ["session_id"], ["slot"], chunk_of("slot"), "pos")
+    m = messages.join(placed, keys).join(facts, keys, "left").join(shown, keys, "left")
     t, role, any_error = F.col("text"), F.col("role"), F.col("n_errors").isNotNull()
     total = F.length("text") + F.coalesce("error_chars", F.lit(0))
-    flagged = m.filter(X.has_text("text") | any_error).select(
+    return m.select(
         "session_id", "line_no", "role",
         F.left(F.concat("text", F.coalesce("e_text", F.lit(""))), F.lit(CONTENT_LIMIT)).alias("content"),
         F.coalesce("n_errors", F.lit(0)).alias("n_errors"),
@@ -152,8 +149,8 @@ def carry_errors(entries: DataFrame) -> DataFrame:
             (role == "user") & (corrects(t) | F.coalesce("e_corrects", F.lit(False))) & (total < CORRECTION_LIMIT)
         ).alias("is_correction"),
         ((role == "assistant") & (pivots(t) | F.coalesce("e_pivots", F.lit(False)))).alias("is_pivot"),
+        "pos",
     )
-    return ordinal(flagged, ["session_id"], ["line_no"], chunk_of("line_no"), "pos")
 
 
 def with_signal(flagged: DataFrame) -> DataFrame:

@@ -33,6 +33,15 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def text_table(self, name: str, key: str) -> DataFrame:
+        """A table of long texts, spread over the cores when its file has too few row groups.
+
+        A table of many files is read as it is and never shuffled here.
+        """
+        df = self.raw(name)
+        slots = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
+
     # --- conversations ------------------------------------------------------
 
     @cached_property
@@ -127,8 +136,8 @@ class Tables:
 
     @cached_property
     def a_doc(self) -> DataFrame:
-        docs = self.raw("documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), "text")
-        pages = self.raw("pages").select(
+        docs = self.text_table("documents", "doc_id").select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), "text")
+        pages = self.text_table("pages", "page_id").select(
             F.concat(F.lit("p"), F.col("page_id")).alias("doc_id"), F.col("html").alias("text")
         )
         return docs.unionAll(pages)

@@ -112,6 +112,11 @@ def all_sessions(t: Tables) -> DataFrame:
     return talk.unionByName(tools.select("session_id", "project", "source", "msg_count"))
 
 
+@query("bm25_scan", f"WITH {SCORES} SELECT * FROM scores")
+def bm25_scan(t: Tables) -> DataFrame:
+    return Q.bm25_scan(corpus(t), TERMS, stem=False).withColumn("score", F.round("score", 6))
+
+
 @query(
     "search_sessions",
     f"""WITH {SCORES}, best AS (SELECT session_id, max(score) AS score FROM scores GROUP BY session_id)
@@ -121,7 +126,8 @@ def all_sessions(t: Tables) -> DataFrame:
     WHERE source = 'claude-code' ORDER BY b.score DESC, b.session_id LIMIT 10""",
 )
 def search_sessions(t: Tables) -> DataFrame:
-    return Q.search_sessions(index(t), all_sessions(t), TERMS, sources=["claude-code"])
+    scores = Q.bm25_scan(corpus(t), TERMS, stem=False)
+    return Q.best_sessions(scores, all_sessions(t), sources=["claude-code"])
 
 
 @query("search_sessions_stemmed")

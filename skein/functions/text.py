@@ -273,8 +273,8 @@ def fold(col: str | Column) -> Column:
 
 def tokens(col: str | Column) -> Column:
     """Maximal runs of letters and digits, folded."""
-    parts = F.split(fold(col), r"[^\p{L}\p{N}]+")
-    return F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda t: t != "")
+    parts = F.split(F.coalesce(fold(col), F.lit("")), r"[^\p{L}\p{N}]+")
+    return F.array_remove(parts, "")
 
 
 def any_of(col: str | Column, patterns: list[str]) -> Column:

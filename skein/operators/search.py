@@ -51,15 +51,22 @@ def tokenised(messages: DataFrame, fields: Sequence[str] = tuple(WEIGHTS), stem:
     return arrays.withColumn("dl", length.cast("long"))
 
 
-def _tagged(field: str) -> Column:
-    return F.transform(
+def _tagged(field: str, only: Sequence[str] | None) -> Column:
+    placed = F.transform(
         field, lambda t, i: F.struct(F.lit(field).alias("field"), t.alias("term"), i.alias("pos"))
     )
+    return placed if only is None else F.filter(placed, lambda x: x["term"].isin(list(only)))
 
 
-def build_index(messages: DataFrame, fields: Sequence[str] = tuple(WEIGHTS), stem: bool = True) -> Index:
+def build_index(
+    messages: DataFrame,
+    fields: Sequence[str] = tuple(WEIGHTS),
+    stem: bool = True,
+    only: Sequence[str] | None = None,
+) -> Index:
+    """Index of all terms, or of the terms in `only` for one search over an archive without an index."""
     docs = tokenised(messages, fields, stem)
-    tagged = F.flatten(F.array(*[_tagged(f) for f in fields]))
+    tagged = F.flatten(F.array(*[_tagged(f, only) for f in fields]))
     occurrences = docs.select(*DOC, "dl", F.inline(tagged))
     # all occurrences of a (term, message) sit in one input row, so this combines before the shuffle
     postings = occurrences.groupBy("term", *DOC, "dl").agg(
@@ -109,6 +116,23 @@ def term_stats(index: Index) -> DataFrame:
     )
 
 
+def vocabulary(
+    messages: DataFrame, fields: Sequence[str] = tuple(WEIGHTS), stem: bool = True
+) -> DataFrame:
+    """The same statistics straight from messages.
+
+    Each message contributes its distinct terms once for `df` and all its terms
+    for `occurrences`, so rows combine by term alone before the shuffle.
+    """
+    all_terms = F.concat(*fields)
+    counted = F.concat(
+        F.transform(F.array_distinct(all_terms), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("o"))),
+        F.transform(all_terms, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("o"))),
+    )
+    rows = tokenised(messages, fields, stem).select(F.inline(counted))
+    return rows.groupBy("term").agg(F.sum("d").alias("df"), F.sum("o").alias("occurrences"))
+
+
 def _of_terms(index: Index, terms: Sequence[str]) -> DataFrame:
     return index.postings.filter(F.col("term").isin(list(terms)))
 
@@ -125,10 +149,13 @@ def _gain(idf: Column, wtf: Column, dl: Column, avgdl: Column) -> Column:
     return idf * wtf * (K1 + 1) / (wtf + K1 * (1 - B + B * dl / avgdl))
 
 
-def _corpus(index: Index) -> tuple[Column, Column]:
-    """Message count and average length as one scalar subquery."""
-    one = index.corpus.select(F.struct("docs", "avgdl")).scalar()
-    return one["docs"], one["avgdl"]
+def _term_weights(index: Index, hits: DataFrame) -> DataFrame:
+    """`term, idf, avgdl` of the terms in `hits`; the corpus row is read by one scalar subquery."""
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    corpus = index.corpus.select(F.struct("docs", "avgdl")).scalar()
+    return df.withColumn("c", corpus).select(
+        "term", _idf(F.col("c.docs"), F.col("df")).alias("idf"), F.col("c.avgdl").alias("avgdl")
+    )
 
 
 def bm25(index: Index, terms: Sequence[str], weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
@@ -136,13 +163,11 @@ def bm25(index: Index, terms: Sequence[str], weights: Mapping[str, float] = WEIG
 
     Changing `weights` needs no new index.
     """
-    docs, avgdl = _corpus(index)
     hits = _of_terms(index, terms)
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
     # one row per query term, so the size is bounded by the query itself
-    idf = F.broadcast(df.select("term", _idf(docs, F.col("df")).alias("idf")))
+    idf = F.broadcast(_term_weights(index, hits))
     scored = hits.select("term", *DOC, "dl", _weighted(index, weights).alias("wtf")).join(idf, "term")
-    gain = _gain(F.col("idf"), F.col("wtf"), F.col("dl"), avgdl)
+    gain = _gain(F.col("idf"), F.col("wtf"), F.col("dl"), F.col("avgdl"))
     return scored.groupBy(*DOC).agg(F.sum(gain).alias("score"))
 
 
@@ -151,32 +176,10 @@ def bm25_scan(
 ) -> DataFrame:
     """The same scores straight from messages, for archives without a stored index.
 
-    Two passes without a shuffle of tokens: the first reduces to one row (message
-    count, average length, messages per term), the second scores each message.
+    Tokens other than the query terms are dropped inside their array, before
+    anything is exploded or shuffled.
     """
-    terms = list(dict.fromkeys(terms))
-    docs = tokenised(messages, tuple(weights), stem)
-
-    wanted = [
-        F.filter(f, lambda x: x.isin(terms)).alias(f) for f in weights
-    ]
-    few = docs.select(*DOC, F.explode(F.array(F.struct("dl", *wanted))).alias("d"))
-
-    def tf(field: str, term: str) -> Column:
-        return F.size(F.filter(F.col(f"d.{field}"), lambda t: t == term))
-
-    wtf = [sum((tf(f, term) * float(w) for f, w in weights.items()), F.lit(0.0)) for term in terms]
-    facts = few.select(*DOC, F.explode(F.array(F.struct("d.dl", F.array(*wtf).alias("wtf")))).alias("d"))
-    seen = facts.agg(
-        F.count("*").alias("docs"), F.avg("d.dl").alias("avgdl"),
-        F.array(*[F.count_if(F.col("d.wtf")[i] > 0) for i in range(len(terms))]).alias("df"),
-    )
-    one = seen.select(F.struct("docs", "avgdl", "df")).scalar()
-    gains = [
-        _gain(_idf(one["docs"], one["df"][i]), F.col("d.wtf")[i], F.col("d.dl"), one["avgdl"]) for i in range(len(terms))
-    ]
-    hit = F.exists("d.wtf", lambda x: x > 0)
-    return facts.filter(hit).select(*DOC, sum(gains[1:], gains[0]).alias("score"))
+    return bm25(build_index(messages, tuple(weights), stem, only=terms), terms, weights)
 
 
 def search_sessions(
@@ -206,14 +209,12 @@ def search_batch(
     index: Index, queries: DataFrame, weights: Mapping[str, float] = WEIGHTS, k: int = 10
 ) -> DataFrame:
     """Many queries at once: `queries(query_id, term)` to the top `k` sessions of each."""
-    docs, avgdl = _corpus(index)
     wanted = queries.select("query_id", "term").distinct()
     hits = index.postings.join(wanted.select("term").distinct(), "term", "left_semi").select(
         "term", *DOC, "dl", _weighted(index, weights).alias("wtf")
     )
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    plan = wanted.join(df.select("term", _idf(docs, F.col("df")).alias("idf")), "term")
-    gain = _gain(F.col("idf"), F.col("wtf"), F.col("dl"), avgdl)
+    plan = wanted.join(_term_weights(index, hits), "term")
+    gain = _gain(F.col("idf"), F.col("wtf"), F.col("dl"), F.col("avgdl"))
     scored = hits.join(plan, "term").groupBy("query_id", *DOC).agg(F.round(F.sum(gain), 6).alias("score"))
     best = scored.groupBy("query_id", "session_id").agg(
         F.max("score").alias("score"),

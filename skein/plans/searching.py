@@ -86,6 +86,15 @@ def stemmed_terms(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "vocabulary",
+    f"""WITH {CORPUS}, {OCC}
+    SELECT term, count(DISTINCT session_id || ':' || msg_index) AS df, count(*) AS occurrences FROM occ GROUP BY term""",
+)
+def vocabulary(t: Tables) -> DataFrame:
+    return Q.vocabulary(corpus(t), stem=False)
+
+
 @query(
     "term_stats",
     f"""WITH {CORPUS}, {OCC}

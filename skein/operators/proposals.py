@@ -73,7 +73,7 @@ def proposal_files(validated: DataFrame, date: str) -> DataFrame:
     """
     ok = validated.filter("status = 'accepted'")
     numbered = ordinal(
-        ok, ["kind"], ["proposal_id"], F.left("proposal_id", F.lit(2)), "_no"
+        ok, ["kind"], ["proposal_id"], F.left("proposal_id", F.lit(4)), "_no"
     )
     no = (F.col("_no") + 1).cast("string")
     padded = F.when(F.length(no) >= 2, no).otherwise(F.lpad(no, 2, "0"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.functions.stem import porter, stem_array
-from skein.operators.ordered import CHUNK, chunk_of, top_k
+from skein.operators.ordered import chunk_of, top_k
 
 # Field weights and ranking constants.
 WEIGHTS = {"user_text": 8.0, "assistant_text": 3.0, "tool_calls": 1.5, "file_paths": 7.0}
@@ -304,7 +304,7 @@ def read_windows(
     requests: DataFrame,
     max_tokens: int = WINDOW_TOKENS,
     radius: int = WINDOW_RADIUS,
-    chunk: int = CHUNK,
+    chunk: int | None = None,
 ) -> DataFrame:
     """Token-bounded windows around `requests(request_id, session_id, target)`.
 
@@ -313,6 +313,8 @@ def read_windows(
     messages on (session, chunk), so a long session spreads over many tasks,
     and each window ranks at most `2 * radius + 1` rows.
     """
+    # a chunk as wide as a window keeps candidates within three windows per request
+    chunk = chunk or 2 * radius + 1
     budget = max_tokens * X.CHARS_PER_TOKEN
     lo, hi = F.greatest(F.col("target") - radius, F.lit(0)), F.col("target") + radius
     spread = requests.select(

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: temporary folders of local sessions, by application
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def build_session(app: str = "skein", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect; `conf` overrides them."""
     settings = {
@@ -38,9 +42,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="skein-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="skein-")
+    return _LOCAL_FOLDERS[app]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -180,3 +180,16 @@ def test_content_text_forms(spark):
     ).select(C.blocks_of(F.col("e")).alias("b"), "plain")
     out = rows.select(C.text_of(F.col("b"), F.col("plain")).alias("t"), C.text_or_sentinel(F.col("b"), F.col("plain")).alias("s")).collect()
     assert [tuple(r) for r in out] == [("a\nb", "a b"), ("plain", "plain"), ("", "[no text content]")]
+
+
+def test_rendered_blocks(spark, tmp_path, write_lines):
+    from skein.operators import timeline as L
+
+    write_lines(tmp_path / "projA" / "s1.jsonl", claude_rows())
+    entries = R.parse_claude_entries(R.read_claude_lines(spark, str(tmp_path))).withColumn("message_no", F.col("line_no"))
+    rows = L.transcript_blocks(entries, text_cap=8, output_cap=2).orderBy("message_no", "block_no").collect()
+    got = [(r.message_no, r.label, r.body, r.is_error) for r in rows]
+    assert (2, "", "Please f...[truncated]", False) in got
+    assert (3, "Tool: Read", '{"file_path":"src/a.ts"}', False) in got
+    assert (4, "Tool Result (t1)", "bo...[truncated]", True) in got
+    assert not any("hm" == r.body for r in rows)

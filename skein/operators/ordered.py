@@ -55,9 +55,10 @@ def running_sums(
     )
     local = rows.select("*", *[F.sum(e).over(here).alias(n) for n, e in sums.items()])
     cond = reduce(and_, [F.col(k) == F.col(f"_k_{k}") for k in inner])
-    joined = local.join(offsets, cond)
+    # every bucket has exactly one offset; a left join lets Spark drop it where no sum is used
+    joined = local.join(offsets, cond, "left")
     out = [c for c in local.columns if c not in sums and c != "_bucket"]
-    return joined.select(*out, *[(F.col(n) + F.col(f"_o_{n}")).alias(n) for n in sums])
+    return joined.select(*out, *[(F.col(n) + F.coalesce(f"_o_{n}", F.lit(0))).alias(n) for n in sums])
 
 
 def ordinal(

@@ -56,21 +56,24 @@ def usage_rollup(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
     `prices(prompt_type, input_price, output_price)`, prices per token.
     """
-    priced = usage.join(prices, "prompt_type", "left")
+    # few types hold all calls: combine map-side first, price and total the few sums afterwards
+    sums = usage.groupBy("prompt_type").agg(
+        F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"),
+        F.sum("completion_tokens").alias("completion_tokens"),
+    )
     cost = F.col("prompt_tokens") * F.coalesce("input_price", F.lit(0.0)) + F.col("completion_tokens") * F.coalesce(
         "output_price", F.lit(0.0)
     )
-    tokens = F.col("prompt_tokens") + F.col("completion_tokens")
-    out = priced.rollup("prompt_type").agg(
-        F.grouping("prompt_type").alias("_all"),
-        F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"),
-        F.sum("completion_tokens").alias("completion_tokens"), F.sum(tokens).alias("total_tokens"),
+    out = sums.join(prices, "prompt_type", "left").rollup("prompt_type").agg(
+        F.grouping("prompt_type").alias("_all"), F.sum("calls").alias("calls"),
+        F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
         F.sum(cost).alias("_cost"),
     )
+    total = F.col("prompt_tokens") + F.col("completion_tokens")
     return out.select(
         F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col("prompt_type")).alias("prompt_type"), "calls",
-        "prompt_tokens", "completion_tokens", "total_tokens",
-        F.floor(F.col("total_tokens") / F.col("calls") + 0.5).cast("long").alias("avg_tokens"),
+        "prompt_tokens", "completion_tokens", total.alias("total_tokens"),
+        F.floor(total / F.col("calls") + 0.5).cast("long").alias("avg_tokens"),
         F.round("_cost", 4).alias("cost"), F.round(F.col("_cost") / F.col("calls"), 6).alias("avg_cost"),
     )
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +39,11 @@ def read_committed(spark: SparkSession, folder: str, name: str, before: int | No
 
 
 def has_commits(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_commits")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    try:
+        spark.read.parquet(f"{folder}/_commits")
+    except AnalysisException:  # no batch has been committed yet
+        return False
+    return True
 
 
 def _overwrite(df: DataFrame, path: str, *partitions: str) -> None:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -39,26 +40,32 @@ def ingest_batch(
     own output, so a restart neither loses nor repeats messages.
     """
     spark = lines.sparkSession
-    messages = transcripts.parse_messages(lines)
-    if sinks.has_commits(spark, folder):
-        ids = lines.select("session_id").distinct()
-        earlier = sinks.read_committed(spark, folder, "partials", before=batch_id)
-        known = S.merge_rollups(earlier.join(ids, "session_id", "left_semi"))
-        messages = S.continue_numbering(messages, known)
-    # four tables come out of the parsed batch, so it is parsed once
-    stored = materialise(messages, "batch")
-    dirs = transcripts.working_dirs(lines)
-    gone = private(stored, dirs) if private else stored.select("session_id").limit(0)
-    sinks.commit_batch(
-        {
-            "messages": stored,
-            "partials": S.partial_rollup(stored),
-            "session_files": S.session_files(S.explode_files(stored)),
-            "private": gone,
-        },
-        folder,
-        batch_id,
-    )
+    # messages, directories and session ids all read the batch
+    lines = lines.persist(StorageLevel.DISK_ONLY)
+    try:
+        messages = transcripts.parse_messages(lines)
+        if sinks.has_commits(spark, folder):
+            ids = lines.select("session_id").distinct()
+            earlier = sinks.read_committed(spark, folder, "partials", before=batch_id)
+            known = S.merge_rollups(earlier.join(ids, "session_id", "left_semi"))
+            messages = S.continue_numbering(messages, known)
+        # four tables come out of the parsed batch, so it is parsed once
+        stored = materialise(messages, "batch")
+        gone = stored.select("session_id").limit(0)
+        if private:
+            gone = private(stored, transcripts.working_dirs(lines))
+        sinks.commit_batch(
+            {
+                "messages": stored,
+                "partials": S.partial_rollup(stored),
+                "session_files": S.session_files(S.explode_files(stored)),
+                "private": gone,
+            },
+            folder,
+            batch_id,
+        )
+    finally:
+        lines.unpersist()
 
 
 def start_ingest(

@@ -17,9 +17,9 @@ ERROR_CUES = [
     r"\[TOOL ERROR\]",
 ]
 FAILURE_CUES = [r"\[TOOL ERROR\]", "command failed", "exit code [1-9]"]
-# closed phrases end at a word boundary; open ones end in a mark or blank and need a word after it
-CORRECTION_CLOSED = ["not that", "don't do", "that's wrong", "instead of", "wait,? actually"]
-CORRECTION_OPEN = ["no,", "stop ", "no —", "no -"]
+CORRECTION_CUES = [
+    "no,", "not that", "don't do", "stop ", "that's wrong", "instead of", "wait,? actually", "no —", "no -",
+]
 PIVOT_CUES = [
     "different approach", "let me try", "instead of", "actually,? let's", "won't work", "alternative",
 ]
@@ -48,13 +48,14 @@ _FAR = BEFORE + AFTER + 1
 _ERRORS_KEPT = CONTENT_LIMIT // len(ERROR_PREFIX) + 1
 
 
-def correction_pattern(
-    closed: Sequence[str] = CORRECTION_CLOSED, open_: Sequence[str] = CORRECTION_OPEN
-) -> str:
+def correction_pattern(cues: Sequence[str] = CORRECTION_CUES) -> str:
+    """Cues between word boundaries.
+
+    A boundary after a letter needs no letter to follow; after a mark or a blank
+    it needs one, so `no,wait` is a correction and `no, wait` is not.
+    """
     word, edge = "[A-Za-z0-9_]", "[^A-Za-z0-9_]"
-    ends = [f"(?:{'|'.join(closed)})(?:$|{edge})"]
-    if open_:
-        ends.append(f"(?:{'|'.join(open_)}){word}")
+    ends = [f"{cue}(?:$|{edge})" if cue[-1].isalnum() else f"{cue}{word}" for cue in cues]
     return f"(?i)(?:^|{edge})(?:{'|'.join(ends)})"
 
 

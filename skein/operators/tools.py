@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as X
 from skein.functions.content import DECISION_TOOL
 from skein.operators.ordered import chunk_of, ordinal, top_k
+from skein.session import materialise
 
 # Caps of tool and file reports.
 FILES_CAP, READ_CAP, TOP_TOOLS = 15, 10, 6
@@ -351,7 +352,9 @@ def phase_rollup(calls: DataFrame, ranges: DataFrame) -> DataFrame:
     Each range is cut at the chunk grid so that calls meet it on (session, chunk).
     """
     keys = ["session_id", "phase_no"]
-    joined = in_ranges(calls, ranges)
+    wanted = in_ranges(calls, ranges).select(*keys, "name", "start", "end", "msg_index", "ts", "tool", "file_path")
+    # three roll-ups read the joined rows, so the join runs once
+    joined = materialise(wanted, "phases")
     per_file = joined.groupBy(*keys, "file_path").agg(
         F.max(F.col("tool") == "Write").alias("_w"), F.max(F.col("tool") == "Edit").alias("_e")
     )

@@ -1,5 +1,7 @@
 """Every registered query next to its SQL on the smallest tables."""
 
+import contextlib
+import io
 import os
 import sys
 from pathlib import Path
@@ -23,9 +25,18 @@ def con():
     return connect(FOLDER)
 
 
+def plan_of(df) -> str:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
+
+
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, con, name):
     df = queries()[name](spark, FOLDER)
+    plan = plan_of(df)
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name in SQL:
         assert difference(df, con, SQL[name]) is None
     else:

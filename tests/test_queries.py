@@ -12,11 +12,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 from compare import connect, difference  # noqa: E402
 
-from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from __spark_entry__ import entry  # noqa: E402
+from skein.plans import ORACLE, QUERIES  # noqa: E402
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SQL = oracle_sql()
-
 pytestmark = pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="test tables not present")
 
 
@@ -32,13 +31,13 @@ def plan_of(df) -> str:
     return out.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     plan = plan_of(df)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    if name in SQL:
-        assert difference(df, con, SQL[name]) is None
+    if name in ORACLE:
+        assert difference(df, con, ORACLE[name]) is None
     else:
         assert df.count() > 0
 

@@ -2,39 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.session import materialise
 
+#: edges of a partition in the rounds
+PART_ROWS = 500_000
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """(v, m): the same components with fewer edges; each batch of edges is reduced to stars around its smallest nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            up: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                root = x
+                while up.setdefault(root, root) != root:
+                    root = up[root]
+                while up[x] != root:
+                    up[x], x = root, up[x]
+                return root
+
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = top(a), top(b)
+                up[max(a, b)] = min(a, b)
+            stars = [(x, top(x)) for x in list(up)]
+            stars = [s for s in stars if s[0] != s[1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v for v, _ in stars], pa.int64()), pa.array([m for _, m in stars], pa.int64())], ["v", "m"]
+            )
+
+    return edges.select("a", "b").mapInArrow(run, "v long, m long")
+
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """node, component (its smallest node) for every node of `edges` (a, b: long).
+    """node, component (its smallest node) for every node of `edges` (a, b: long) that has another.
 
     Each round joins a node's larger neighbours, then its smaller ones, to its
     smallest neighbour. A large neighbourhood is only ever aggregated (map-side
-    first) and joined row by row, never gathered. Each round is written to the
-    shared folder, so a lost executor re-reads one round.
+    first) and joined row by row, never gathered. Each half round is written to
+    the shared folder, so a lost executor re-reads one step. Partitions are
+    sized by the number of edges, which no round increases by more than its nodes.
     """
-    star = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).filter("v <> m").distinct()
-    star = materialise(star, "components-0")
-    seen = None
+    star = materialise(forest(edges), "components-0")
+    count = star.count()
+    parts, seen = max(4, -(-count // PART_ROWS)), None
     for n in range(1, rounds + 1):
         both = star.select(F.col("v").alias("x"), F.col("m").alias("y")).unionByName(
             star.select(F.col("m").alias("x"), F.col("v").alias("y"))
         )
-        least = both.groupBy("x").agg(F.min("y").alias("least"))
-        least = least.select("x", F.least("x", "least").alias("least"))
-        large = both.join(least, "x").filter("y > x").select(F.col("y").alias("v"), F.col("least").alias("m")).distinct()
+        least = both.groupBy("x").agg(F.min("y").alias("y0")).select("x", F.least("x", "y0").alias("least"))
+        large = both.join(least, "x").filter("y > x").select(F.col("y").alias("v"), F.col("least").alias("m"))
+        large = materialise(large.coalesce(parts), f"components-{n}-large")
         least = large.groupBy("v").agg(F.min("m").alias("least"))
-        small = large.join(least, "v")
-        star = small.filter("m <> least").select(F.col("m").alias("v"), F.col("least").alias("m")).unionByName(
-            least.select("v", F.col("least").alias("m"))
-        )
-        star = materialise(star.distinct(), f"components-{n}")
-        now = star.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))
-        ).first()
+        small = large.join(least, "v").filter("m <> least").select(F.col("m").alias("v"), F.col("least").alias("m"))
+        star = small.unionByName(least.select("v", F.col("least").alias("m"))).distinct()
+        star = materialise(star.coalesce(parts), f"components-{n}")
+        now = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now

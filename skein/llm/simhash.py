@@ -113,7 +113,7 @@ def links(fps: DataFrame, radius: int = RADIUS, small: int = SMALL_BUCKET) -> Da
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     pairs = a.join(b, (a["t"] == b["t"]) & (a["k"] == b["k"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
     if radius != 2:
-        return pairs.distinct()
+        return pairs
     flips = F.element_at(
         F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << i)) for i in range(64) if not m >> i & 1]) for m in masks]),
         F.col("t") + 1,
@@ -123,21 +123,23 @@ def links(fps: DataFrame, radius: int = RADIUS, small: int = SMALL_BUCKET) -> Da
     )
     meet = visits.groupBy("t", "at").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     stars = visits.join(meet.select("t", "at", "b"), ["t", "at"]).select(F.col("fp").alias("a"), "b").filter("a <> b")
-    return pairs.unionByName(stars).distinct()
+    return pairs.unionByName(stars)
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, small: int = SMALL_BUCKET) -> DataFrame:
     """doc_id, fingerprint (hex), component_id of every row of `docs`."""
     prints = materialise(fingerprints(docs, width), "simhash-prints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    joined = components(links(distinct.select("fp"), radius, small))
-    labels = distinct.join(joined, distinct["fp"] == joined["node"], "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component")
-    )
-    named = labels.groupBy("component").agg(F.min("first").alias("component_id"))
-    labels = materialise(labels.join(named, "component").select("fp", "component_id"), "simhash-labels")
-    labels = bounded(labels, labels.count(), 32)
-    return prints.join(labels, "fp").select(
+    joined = materialise(components(links(distinct.select("fp"), radius, small)), "simhash-joined")
+    n_joined = joined.count()
+    # only fingerprints with a link need a second look
+    members = distinct.join(bounded(joined, n_joined, 16), F.col("fp") == F.col("node"))
+    members = materialise(members.select("fp", "first", "component"), "simhash-members")
+    named = members.groupBy("component").agg(F.min("first").alias("component_id"))
+    members = members.join(bounded(named, n_joined, 16), "component").select("fp", "component_id")
+    labels = distinct.join(bounded(materialise(members, "simhash-named"), n_joined, 16), "fp", "left")
+    labels = labels.select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    return prints.join(bounded(labels, distinct.count(), 16), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

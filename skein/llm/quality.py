@@ -97,11 +97,12 @@ def statistics(text: str) -> list[float]:
         np.log1p(many / max(1, len(lines))),
         1 - len(set(lines)) / max(1, len(lines)),
         max(map(len, words), default=0) ** 0.5,
+        sum(a == b for a, b in zip(lower, lower[1:])) / many,
         *(counts[8:] / n),
     ]
 
 
-WIDTH = 19 + len(_MARKS)
+WIDTH = 20 + len(_MARKS)
 
 
 def measured(docs: DataFrame, *more: str) -> DataFrame:

@@ -36,8 +36,8 @@ OPEN_BINS = 1024
 TASK_PIECES = 40_000
 #: rounds after which all bins close; each leaves about a twentieth of its pieces to the next
 ROUNDS = 8
-#: words whose ids a worker remembers, and the longest such word
-CACHE_WORDS, CACHE_LETTERS = 500_000, 48
+#: words whose ids a worker remembers (twice as many while it forgets)
+CACHE_WORDS = 500_000
 
 #: texts of these characters only can be cut at white space without changing any id
 _PLAIN = regex.compile(r"[\n\r\t\x20-\x7e\xa1-\xac\xae-˿Ͱ-ϿЀ-ӿ‐-‧‰-⁞₠-₿]*")
@@ -47,7 +47,9 @@ class Ids(dict):
     """Word -> its ids as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins words across it, so a text's
-    ids are those of its words in a row.
+    ids are those of its words in a row. New words are encoded together, and
+    their character offsets tell whose ids are whose. When the table is full, a
+    word stays only if it is met again before the table fills once more.
     """
 
     def __init__(self, path: str):
@@ -55,22 +57,37 @@ class Ids(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= CACHE_LETTERS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        if _PLAIN.fullmatch(text):
-            return b"".join(map(self.__getitem__, text.split()))
-        return self.encode(text)
+    def learn(self, words: set[str]) -> None:
+        if len(self) + len(words) > CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        new = []
+        for w in words:
+            if w not in self:
+                known = self.older.get(w)
+                if known is None:
+                    new.append(w)
+                else:
+                    self[w] = known
+        found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4").tobytes()
+        starts = np.fromiter((a for a, _ in found.offsets), np.int64)
+        lengths = np.fromiter(map(len, new), np.int64, len(new))
+        cuts = (4 * np.searchsorted(starts, np.cumsum(lengths + 1) - lengths - 1)).tolist()
+        for w, a, b in zip(new, cuts, [*cuts[1:], len(ids)], strict=True):
+            self[w] = ids[a:b]
+
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text."""
+        cut = [t.split() if _PLAIN.fullmatch(t) else None for t in texts]
+        self.learn({w for words in cut if words for w in words})
+        for text, words in zip(texts, cut, strict=True):
+            yield self.encode(text) if words is None else b"".join(map(self.__getitem__, words))
 
 
 _LOADED: dict[str, Ids] = {}
@@ -92,8 +109,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, sepa
         ids = loaded(tokenizer)
         for batch in pieces(batches):
             rows, out = [], []
-            for n, text in enumerate(batch.column(1).to_pylist()):
-                data = ids.of(text or "") + end
+            for n, data in enumerate(ids.of([t or "" for t in batch.column(1).to_pylist()])):
+                data += end
                 for k, at in enumerate(range(0, len(data), width)):
                     part = data[at : at + width]
                     rows.append(n)

@@ -62,7 +62,8 @@ def gram_blocks(text: str) -> Iterator[np.ndarray]:
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     codes = np.where(letter, codes, np.uint32(32))[keep].astype(np.uint64)
-    codes = np.concatenate([[np.uint64(32)], codes, [np.uint64(32)]]) if codes[0] != 32 else np.append(codes, np.uint64(32))
+    blank = np.array([32], dtype=np.uint64)  # the first character kept is a letter
+    codes = np.concatenate([blank, codes, blank if codes[-1] != 32 else blank[:0]])
     overlap = max(SIZES) - 1
     for start in range(0, len(codes), _BLOCK):
         part = codes[start : start + _BLOCK + overlap]

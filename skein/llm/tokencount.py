@@ -59,11 +59,11 @@ class Counter(dict):
             self[part] = n
         return n
 
-    def groups(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths and token counts of groups of LEAF pre-tokens."""
+    def groups(self, parts: list[str], size: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and token counts of groups of `size` pre-tokens."""
         if not parts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.arange(0, len(parts), LEAF)
+        at = np.arange(0, len(parts), size)
         chars = np.fromiter(map(len, parts), np.int64, len(parts))
         tokens = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
         return np.add.reduceat(chars, at), np.add.reduceat(tokens, at)
@@ -159,11 +159,16 @@ class Document:
                 break
         if not synced:
             last = tree.size
-        chars, tokens = self.counter.groups(parts)
+        # a leaf may grow to twice its first size before the leaves are dealt anew
+        fits = len(parts) <= 2 * LEAF * (last - first)
+        chars, tokens = self.counter.groups(parts, max(LEAF, -(-len(parts) // (last - first))) if fits else LEAF)
         self.recoded += at - start
-        if len(chars) > last - first:  # no room: leaves move, nothing else is encoded
-            leaves = [np.concatenate([heap[tree.size : tree.size + first], new, heap[tree.size + last :]]) for heap, new in ((tree.chars, chars), (tree.tokens, tokens))]
-            self.tree = Tree(*leaves)
+        if not fits:  # leaves move, nothing else is encoded
+            chars, tokens = (
+                np.concatenate([heap[tree.size : tree.size + first], new, heap[tree.size + last :]])
+                for heap, new in ((tree.chars, chars), (tree.tokens, tokens))
+            )
+            self.tree = Tree(chars[chars > 0], tokens[chars > 0])
             self.written += 2 * self.tree.size
             return
         for leaf in range(first, last):

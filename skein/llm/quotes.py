@@ -124,22 +124,26 @@ def links(messages: DataFrame) -> DataFrame:
 
 
 def roots(parents: DataFrame, rounds: int = 64) -> DataFrame:
-    """id, root, depth from (id, parent); a root has a null parent. Each round doubles the reach."""
+    """id, root, depth from (id, parent); a root has a null parent.
+
+    Each round doubles the reach, and only of messages that haven't met their
+    root yet: a long thread costs more rounds of its own, none of the others'.
+    """
+    top = F.col("parent").isNull()
     state = parents.select(
-        "id", F.coalesce("parent", "id").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")
+        "id", F.coalesce("parent", "id").alias("up"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), top.alias("done")
     )
     state = materialise(state, "quotes-up-0")
-    total = None
+    settled, going = state.filter("done"), state.filter("NOT done")
     for n in range(1, rounds + 1):
-        above = state.filter("depth > 0").select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        state = state.join(above, state["up"] == above["_id"], "left").select(
-            "id", F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")
+        if going.isEmpty():
+            return settled.select("id", F.col("up").alias("root"), "depth")
+        at = settled.unionByName(going).select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
+        state = going.select("id", "up", "depth").join(at, F.col("up") == F.col("_id")).select(
+            "id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done")
         )
         state = materialise(state, f"quotes-up-{n}")
-        now = state.agg(F.sum("depth")).first()[0]
-        if now == total:
-            return state.select("id", F.col("up").alias("root"), "depth")
-        total = now
+        settled, going = settled.unionByName(state.filter("done")), state.filter("NOT done")
     raise RuntimeError("replies did not settle")
 
 

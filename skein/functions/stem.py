@@ -111,8 +111,8 @@ def _final_e(w: str) -> str:
 
 @lru_cache(maxsize=1 << 18)
 def porter(word: str) -> str:
-    """Stem of a lower-case token; short, long and non-Latin tokens pass through."""
-    if not 3 <= len(word) <= 64 or not word.isascii():
+    """Stem of a lower-case token; short and non-Latin tokens pass through."""
+    if len(word) < 3 or not word.isascii():
         return word
     w = _past(_plural(word))
     if w.endswith("y") and _has_vowel(w[:-1]):

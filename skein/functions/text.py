@@ -147,7 +147,7 @@ def model_label(col: str | Column) -> Column:
     dotted = F.regexp_replace(undated, "(?<=^|-)([0-9]+)-(?=[0-9]+(?:-|$))", "$1.")
     words = F.transform(
         F.split(dotted, "-"),
-        lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 20)),
+        lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2))),
     )
     return F.array_join(words, " ")
 

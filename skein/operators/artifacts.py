@@ -112,7 +112,8 @@ def score_artifacts(artifacts: DataFrame) -> DataFrame:
 
 
 def top_artifacts(scored: DataFrame, n: int = TOP_TOTAL) -> DataFrame:
-    return scored.orderBy(F.desc("score"), "session_id", "msg_index", "block_no").limit(n)
+    """Best artifacts of each session with their rank."""
+    return top_k(scored, ["session_id"], [F.desc("score"), F.col("msg_index"), F.col("block_no")], n, "rank")
 
 
 def phase_artifacts(artifacts: DataFrame, ranges: DataFrame, cap: int = PER_SECTION) -> DataFrame:

@@ -82,9 +82,14 @@ def counters(log: DataFrame) -> DataFrame:
     )
 
 
-def importance(feedback: DataFrame, bucket: Column, order: Sequence[str]) -> DataFrame:
+def importance(
+    feedback: DataFrame, bucket: Column, order: Sequence[str], learnings: DataFrame | None = None
+) -> DataFrame:
     """Importance after an ordered feedback log, floored at every step.
 
+    It starts at the learning's own importance, or at 1 where `learnings(id,
+    importance)` has none.
+
     `feedback(id, useful, ...)`. One step maps x to max(floor, x + d). Steps
     compose to the same form, so the result is the larger of `start + sum of d`
     and, over all steps, `floor + sum of the later d`. `bucket` cuts the log of
@@ -108,8 +113,13 @@ def importance(feedback: DataFrame, bucket: Column, order: Sequence[str]) -> Dat
     whole = parts.withColumn("_low", F.col("_low") + tail).groupBy("id").agg(
         F.sum("_sum").alias("_sum"), F.max("_low").alias("_low"), F.sum("_n").alias("votes")
     )
+    begin = F.lit(start)
+    if learnings is not None:
+        own = learnings.groupBy("id").agg(F.max("importance").alias("_own"))
+        whole = whole.join(own, "id", "left")
+        begin = F.coalesce(F.round(F.col("_own") / STEP), begin)
     return whole.select(
-        "id", "votes", F.round(F.greatest(F.col("_sum") + start, F.col("_low")) * STEP, 6).alias("importance")
+        "id", "votes", F.round(F.greatest(F.col("_sum") + begin, F.col("_low")) * STEP, 6).alias("importance")
     )
 
 

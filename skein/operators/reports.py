@@ -42,6 +42,14 @@ def skills_report(events: DataFrame, since: datetime | None = None) -> DataFrame
     )
 
 
+def skill_projects(events: DataFrame, since: datetime | None = None) -> DataFrame:
+    """The project names behind `skills_report`, one row per skill and project."""
+    kept = events.filter((F.col("skill_name") != "") & F.col("ts").isNotNull() & (F.col("project_path") != ""))
+    if since is not None:
+        kept = kept.filter(F.col("ts") >= F.lit(since))
+    return kept.groupBy("skill_name", X.last_segment("project_path").alias("project")).agg(F.count("*").alias("uses"))
+
+
 def dead_skills(known: DataFrame, events: DataFrame, since: datetime | None = None) -> DataFrame:
     """Declared skills without a use in the window. `known(skill_name)`."""
     used = skills_report(events, since).select("skill_name")

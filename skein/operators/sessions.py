@@ -26,8 +26,15 @@ def _first(col: str) -> Column:
     return F.min_by(F.col(col), F.when(F.col(col).isNotNull(), F.col("msg_index")))
 
 
-def session_rollup(messages: DataFrame) -> DataFrame:
-    """One row per session. Every aggregate combines map-side, so long sessions do not skew."""
+def session_rollup(messages: DataFrame, dirs: DataFrame | None = None) -> DataFrame:
+    """One row per session. Every aggregate combines map-side, so long sessions do not skew.
+
+    `dirs(session_id, line_no, cwd)` has the working directories of all lines,
+    retained or not; the first one of a session is its directory. Without it
+    the retained messages' own are used.
+    """
+    if dirs is not None:
+        return finish_rollup(partial_rollup(messages, dirs))
     return messages.groupBy("session_id").agg(
         _first("project").alias("project"),
         _first("cwd").alias("cwd"),
@@ -39,16 +46,29 @@ def session_rollup(messages: DataFrame) -> DataFrame:
     )
 
 
-def partial_rollup(messages: DataFrame) -> DataFrame:
-    """Roll-up of one batch in a form `merge_rollups` can combine in any order."""
+def partial_rollup(messages: DataFrame, dirs: DataFrame | None = None) -> DataFrame:
+    """Roll-up of one batch in a form `merge_rollups` can combine in any order.
+
+    With `dirs(session_id, source, line_no, cwd)`, a session that only states a
+    directory in this batch has a row as well, with no messages.
+    """
     prompt, dir_ = F.col("is_human_prompt"), F.col("cwd").isNotNull()
+    if dirs is not None:
+        told = dirs.groupBy("session_id").agg(
+            F.max("source").alias("_source"), F.min(F.struct(F.col("line_no").alias("at"), "cwd")).alias("_cwd")
+        )
+        own = partial_rollup(messages).drop("first_cwd").join(told, "session_id", "full_outer")
+        return own.select(
+            "session_id", F.coalesce("source", "_source").alias("source"), "project", "started_at", "last_msg_at",
+            F.coalesce("msg_count", F.lit(0)).alias("msg_count"), F.col("_cwd").alias("first_cwd"), "first_prompt",
+        )
     return messages.groupBy("session_id").agg(
         F.max("source").alias("source"),
         F.max("project").alias("project"),
         F.min("ts").alias("started_at"),
         F.max("ts").alias("last_msg_at"),
         F.count("*").alias("msg_count"),
-        F.min(F.when(dir_, F.struct("msg_index", "cwd"))).alias("first_cwd"),
+        F.min(F.when(dir_, F.struct(F.col("msg_index").cast("long").alias("at"), "cwd"))).alias("first_cwd"),
         F.min(
             F.when(prompt, F.struct("msg_index", F.left("user_text", F.lit(FIRST_PROMPT)).alias("prompt")))
         ).alias("first_prompt"),
@@ -70,7 +90,7 @@ def merge_rollups(partials: DataFrame) -> DataFrame:
 
 
 def finish_rollup(merged: DataFrame) -> DataFrame:
-    return merged.select(
+    return merged.filter("msg_count > 0").select(
         "session_id", "project", F.col("first_cwd.cwd").alias("cwd"), "started_at", "last_msg_at",
         "msg_count", F.col("first_prompt.prompt").alias("first_user_prompt"), "source",
     )
@@ -198,8 +218,17 @@ def continue_numbering(batch: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
-def replaced_files(lines: DataFrame, cursor: DataFrame) -> DataFrame:
-    """Files now smaller than what was read of them: their sessions must be rebuilt."""
-    now = lines.groupBy("file_path", "session_id").agg(F.max("file_size").alias("size"))
+def unplaced_sessions(merged: DataFrame, strict_source: str) -> DataFrame:
+    """Sessions of `strict_source` that no line has given a working directory yet."""
+    return merged.filter((F.col("source") == strict_source) & F.col("first_cwd").isNull()).select("session_id")
+
+
+def replaced_files(files: DataFrame, cursor: DataFrame) -> DataFrame:
+    """Files now smaller than what was read of them, emptied ones too: their sessions must be rebuilt.
+
+    `files(file_path, session_id, file_size)` is a listing; a line table has the columns
+    too, but no row of an empty file.
+    """
+    now = files.groupBy("file_path", "session_id").agg(F.max("file_size").alias("size"))
     before = cursor.select("file_path", F.col("size").alias("_size"))
     return now.join(before, "file_path").filter("size < _size").select("file_path", "session_id")

@@ -157,18 +157,29 @@ def chunk_files(calls: DataFrame, size: int = CHUNK_MESSAGES) -> DataFrame:
     )
 
 
-def moment_of(tool: Column, is_error: Column, msg_index: Column) -> Column:
-    """Key moment of a call, or of an error result; null when ordinary."""
-    out = F.when(is_error, F.lit(ERROR_MOMENT))
-    for name, text in MOMENTS.items():
-        out = out.when(tool == name, F.lit(text))
-    return F.concat(out, msg_index.cast("string"))
+def moments(calls: DataFrame) -> DataFrame:
+    """Key moments `session_id, msg_index, call_pos, kind, moment`.
 
+    A call of a marked tool is one, and so is a failing result, at the message
+    of the result (`result_index`); a call may have both.
+    """
+    table = F.create_map(*[F.lit(x) for kv in MOMENTS.items() for x in kv])
+    own = F.struct(F.col("msg_index").alias("at"), F.lit(0).alias("kind"), F.element_at(table, F.col("tool")).alias("text"))
+    failed = F.struct(
+        F.col("result_index").alias("at"), F.lit(1).alias("kind"), F.when(F.col("is_error"), F.lit(ERROR_MOMENT)).alias("text")
+    )
+    both = F.filter(F.array(own, failed), lambda m: m["text"].isNotNull())
+    return calls.select("session_id", "call_pos", F.explode(both).alias("m")).select(
+        "session_id", F.col("m.at").alias("msg_index"), "call_pos", F.col("m.kind").alias("kind"),
+        F.concat("m.text", F.col("m.at").cast("string")).alias("moment"),
+    )
 
-def chunk_index(calls: DataFrame, size: int = CHUNK_MESSAGES) -> DataFrame:
+
+def chunk_index(calls: DataFrame, messages: DataFrame, size: int = CHUNK_MESSAGES) -> DataFrame:
     """One row per chunk of messages: range, tool counts, files, key moments, label.
 
-    A chunk holds `size` messages, so the lists of one chunk are bounded.
+    Chunks come from all messages, whether they call a tool or not. A chunk
+    holds `size` messages, so the lists of one chunk are bounded.
     """
     keys = ["session_id", "chunk_no"]
     tools = chunk_tools(calls, size).groupBy(*keys).agg(
@@ -179,19 +190,24 @@ def chunk_index(calls: DataFrame, size: int = CHUNK_MESSAGES) -> DataFrame:
     files = chunk_files(calls, size).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("first_seen", "file_path"))).alias("_files")
     )
-    moment = moment_of(F.col("tool"), F.col("is_error"), F.col("msg_index"))
-    base = calls.groupBy("session_id", _chunk(size)).agg(
-        F.min("msg_index").alias("first_msg"), F.max("msg_index").alias("last_msg"),
-        F.array_sort(
-            F.collect_list(F.when(moment.isNotNull(), F.struct("msg_index", moment.alias("moment"))))
-        ).alias("_moments"),
+    marked = moments(calls).groupBy("session_id", _chunk(size)).agg(
+        F.array_sort(F.collect_list(F.struct("msg_index", "kind", "call_pos", "moment"))).alias("_moments")
     )
-    rows = base.join(tools, keys, "left").join(files, keys, "left")
+    base = messages.groupBy("session_id", _chunk(size)).agg(
+        F.min("msg_index").alias("first_msg"), F.max("msg_index").alias("last_msg")
+    )
+    rows = base.join(tools, keys, "left").join(files, keys, "left").join(marked, keys, "left")
+
+    def listed(col: str, item, kind: str) -> Column:
+        return F.coalesce(F.transform(col, item), F.array().cast(f"array<{kind}>"))
+
     return rows.select(
         *keys, "first_msg", "last_msg",
-        F.transform("_tools", lambda x: F.struct(x["tool"].alias("tool"), (-x["n"]).alias("calls"))).alias("tools"),
-        F.transform("_files", lambda x: x["file_path"]).alias("files"),
-        F.transform("_moments", lambda x: x["moment"]).alias("moments"),
+        listed(
+            "_tools", lambda x: F.struct(x["tool"].alias("tool"), (-x["n"]).alias("calls")), "struct<tool:string,calls:bigint>"
+        ).alias("tools"),
+        listed("_files", lambda x: x["file_path"], "string").alias("files"),
+        listed("_moments", lambda x: x["moment"], "string").alias("moments"),
     ).withColumn("label", chunk_label(F.col("tools"), F.col("files")))
 
 
@@ -222,8 +238,8 @@ def chunk_label(tools: Column, files: Column) -> Column:
     return F.when(F.coalesce(F.size(tools), F.lit(0)) < 1, F.lit(NO_TOOLS)).otherwise(parts)
 
 
-def chunk_totals(calls: DataFrame, size: int = CHUNK_MESSAGES) -> DataFrame:
-    """Session totals; a file counts as created (modified) when its chunk has any Write (Edit)."""
+def chunk_totals(calls: DataFrame, messages: DataFrame, size: int = CHUNK_MESSAGES) -> DataFrame:
+    """Session totals, chunks and minutes from all messages; a file counts as created (modified) when its chunk has any Write (Edit)."""
     keys = ["session_id", "chunk_no"]
     kinds = calls.groupBy("session_id", _chunk(size)).agg(
         F.max(F.col("tool") == "Write").alias("_writes"), F.max(F.col("tool") == "Edit").alias("_edits")
@@ -236,11 +252,13 @@ def chunk_totals(calls: DataFrame, size: int = CHUNK_MESSAGES) -> DataFrame:
     counted = per_file.groupBy("session_id").agg(
         F.count_if("_w").alias("files_created"), F.count_if("_e").alias("files_modified")
     )
-    base = calls.groupBy("session_id").agg(
-        F.count("*").alias("calls"), F.max(F.floor(F.col("msg_index") / size) + 1).alias("chunks"),
+    called = calls.groupBy("session_id").agg(F.count("*").alias("calls"))
+    base = messages.groupBy("session_id").agg(
+        F.max(F.floor(F.col("msg_index") / size) + 1).alias("chunks"),
         X.rounded_minutes(F.min("ts"), F.max("ts")).alias("duration_minutes"),
     )
-    return base.join(counted, "session_id", "left").fillna(0, ["files_created", "files_modified"])
+    out = base.join(called, "session_id", "left").join(counted, "session_id", "left")
+    return out.fillna(0, ["calls", "files_created", "files_modified"])
 
 
 def chunk_lines(chunks: DataFrame, preview: int = 5) -> DataFrame:
@@ -295,20 +313,23 @@ def phase_transitions(
     return plans.unionByName(errors)
 
 
-def session_facts(calls: DataFrame, transitions: DataFrame) -> DataFrame:
-    """The counts that decide the angle."""
+def session_facts(calls: DataFrame, messages: DataFrame, transitions: DataFrame) -> DataFrame:
+    """The counts that decide the angle; messages and minutes cover sessions without a call too."""
 
     def n(tool: str) -> Column:
         return F.count_if(F.col("tool") == tool)
 
-    base = calls.groupBy("session_id").agg(
-        (F.max("msg_index") + 1).alias("messages"),
+    talked = messages.groupBy("session_id").agg(
+        F.count("*").alias("messages"), X.rounded_minutes(F.min("ts"), F.max("ts")).alias("minutes")
+    )
+    called = calls.groupBy("session_id").agg(
         n("Edit").alias("edits"), n("Bash").alias("bash"), n("TodoWrite").alias("todos"),
         n(DECISION_TOOL).alias("questions"), n("Read").alias("reads"), n("Grep").alias("greps"),
         n("WebSearch").alias("searches"),
         F.count_distinct(F.when(F.col("tool") == "Write", F.col("file_path"))).alias("created"),
-        X.rounded_minutes(F.min("ts"), F.max("ts")).alias("minutes"),
     )
+    counts = [c for c in called.columns if c != "session_id"]
+    base = talked.join(called, "session_id", "left").fillna(0, counts)
     failing = transitions.filter(F.contains(F.lower("indicator"), F.lit("error"))).select("session_id").distinct()
     return base.join(failing.withColumn("_err", F.lit(True)), "session_id", "left").withColumn(
         "has_errors", F.coalesce("_err", F.lit(False))
@@ -346,32 +367,32 @@ def session_overview(calls: DataFrame, roles: DataFrame) -> DataFrame:
     return r.join(c, "session_id", "left").fillna(0)
 
 
-def phase_rollup(calls: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Messages, minutes, tool calls and files per phase range.
+def phase_rollup(calls: DataFrame, messages: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Messages, minutes, tool calls and files of every phase range, whether a tool was called in it or not.
 
-    Each range is cut at the chunk grid so that calls meet it on (session, chunk).
+    Each range is cut at the chunk grid so that rows meet it on (session, chunk).
     """
     keys = ["session_id", "phase_no"]
-    wanted = in_ranges(calls, ranges).select(*keys, "name", "start", "end", "msg_index", "ts", "tool", "file_path")
-    # three roll-ups read the joined rows, so the join runs once
-    joined = materialise(wanted, "phases")
-    per_file = joined.groupBy(*keys, "file_path").agg(
+    # two roll-ups read the joined calls, so that join runs once
+    joined = materialise(in_ranges(calls, ranges).select(*keys, "tool", "file_path"), "phases")
+    per_file = joined.filter("file_path <> ''").groupBy(*keys, "file_path").agg(
         F.max(F.col("tool") == "Write").alias("_w"), F.max(F.col("tool") == "Edit").alias("_e")
     )
     files = per_file.groupBy(*keys).agg(
         F.count_if("_w").alias("files_created"), F.count_if("_e").alias("files_modified")
     )
-    base = joined.groupBy(*keys, "name", "start", "end").agg(
-        F.count_distinct("msg_index").alias("message_count"),
-        X.rounded_minutes(F.min("ts"), F.max("ts")).alias("duration_minutes"),
+    talked = in_ranges(messages, ranges).groupBy(*keys).agg(
+        F.count("*").alias("message_count"), X.rounded_minutes(F.min("ts"), F.max("ts")).alias("duration_minutes")
     )
+    base = ranges.select(*keys, "name", "start", "end").join(talked, keys, "left")
     tools = joined.groupBy(*keys, "tool").agg(F.count("*").alias("calls")).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("calls")).alias("n"), "tool"))).alias("_t")
     )
     label = F.transform("_t", lambda x: F.concat(x["tool"], F.lit(": "), (-x["n"]).cast("string"), F.lit("x")))
-    return base.join(files, keys).join(tools, keys).select(
-        *base.columns, "files_created", "files_modified", F.array_join(label, ", ").alias("tools_used")
+    out = base.join(files, keys, "left").join(tools, keys, "left").select(
+        *base.columns, "files_created", "files_modified", F.coalesce(F.array_join(label, ", "), F.lit("")).alias("tools_used")
     )
+    return out.fillna(0, ["message_count", "files_created", "files_modified"])
 
 
 def in_ranges(rows: DataFrame, ranges: DataFrame, size: int = 256) -> DataFrame:

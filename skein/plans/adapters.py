@@ -33,15 +33,6 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def text_table(self, name: str, key: str) -> DataFrame:
-        """A table of long texts, spread over the cores when its file has too few row groups.
-
-        A table of many files is read as it is and never shuffled here.
-        """
-        df = self.raw(name)
-        slots = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
-
     # --- conversations ------------------------------------------------------
 
     @cached_property
@@ -107,6 +98,25 @@ class Tables:
             "props",
         )
 
+    @cached_property
+    def a_talk(self) -> DataFrame:
+        """Every event as a message."""
+        return self.a_tool.select("session_id", "msg_index", "ts")
+
+    @cached_property
+    def a_call(self) -> DataFrame:
+        """Tool calls of those messages: none, one or two, with failing results one message later."""
+        k = F.col("k")
+        one = F.when(k % 3 != 0, F.struct("tool", "file_path", "is_error"))
+        two = F.when(k % 7 == 0, F.struct(
+            F.when(k % 2 == 0, "AskUserQuestion").otherwise("Grep").alias("tool"), F.lit("").alias("file_path"), F.lit(False).alias("is_error")
+        ))
+        late = self.a_tool.withColumn("call", F.array_compact(F.array(one, two)))
+        return late.select("session_id", "msg_index", "ts", F.posexplode("call").alias("call_pos", "call")).select(
+            "session_id", "msg_index", "ts", "call_pos", (F.col("msg_index") + F.col("call.is_error").cast("int")).alias("result_index"),
+            "call.tool", "call.file_path", "call.is_error",
+        )
+
     @cached_property
     def a_sig(self) -> DataFrame:
         """Tool log as short messages, some with cue phrases."""
@@ -136,8 +146,8 @@ class Tables:
 
     @cached_property
     def a_doc(self) -> DataFrame:
-        docs = self.text_table("documents", "doc_id").select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), "text")
-        pages = self.text_table("pages", "page_id").select(
+        docs = self.raw("documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), "text")
+        pages = self.raw("pages").select(
             F.concat(F.lit("p"), F.col("page_id")).alias("doc_id"), F.col("html").alias("text")
         )
         return docs.unionAll(pages)
@@ -267,6 +277,11 @@ SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, event
   'src/f' || k || CASE k % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.md' WHEN 2 THEN '.json' ELSE '.py' END AS file_path,
   props
 FROM a_log""",
+    "a_talk": "SELECT session_id, msg_index, ts FROM a_tool",
+    "a_call": """
+SELECT session_id, msg_index, ts, 0 AS call_pos, msg_index + is_error::INT AS result_index, tool, file_path, is_error FROM a_tool WHERE k % 3 <> 0
+UNION ALL SELECT session_id, msg_index, ts, (k % 3 <> 0)::INT, msg_index, CASE WHEN k % 2 = 0 THEN 'AskUserQuestion' ELSE 'Grep' END, '', false
+FROM a_tool WHERE k % 7 = 0""",
     "a_sig": """
 SELECT session_id, msg_index, ts, tool, is_error,
   CASE WHEN tool IN ('Read', 'TodoWrite') THEN 'user' ELSE 'assistant' END AS role,

@@ -252,27 +252,16 @@ def phase_requests(t: Tables) -> DataFrame:
     return N.phase_requests(t.a_ann.select("session_id", "msg_index", "content"), cap=200)
 
 
-# phases and notes from some projects only, so every fallback is exercised
 GOAL_SQL = r"""
-ph AS (SELECT p.* FROM a_phase p SEMI JOIN (SELECT session_id FROM a_msg WHERE project < 'p3') USING (session_id)),
-an AS (SELECT a.* FROM a_ann a SEMI JOIN (SELECT session_id FROM a_msg WHERE project < 'p5') USING (session_id)),
 ids AS (SELECT DISTINCT session_id FROM a_msg),
 u AS (SELECT session_id, min(msg_index) AS ui, arg_min(user_text, msg_index) AS ut FROM a_msg WHERE is_human_prompt GROUP BY session_id),
 p AS (SELECT session_id, arg_min(phase_name, phase_id) AS pn, arg_min(description, phase_id) AS pd, arg_max(phase_name, phase_id) AS ln,
-  arg_max(description, phase_id) AS ld, count(DISTINCT phase_id) AS pc FROM ph GROUP BY session_id),
-g AS (SELECT session_id, min(msg_index) AS gi, arg_min(annotation, msg_index) AS ga, arg_min(content, msg_index) AS gc, count(*) AS gn FROM an WHERE color = 'green' GROUP BY session_id),
+  arg_max(description, phase_id) AS ld, count(DISTINCT phase_id) AS pc FROM a_phase GROUP BY session_id),
+g AS (SELECT session_id, min(msg_index) AS gi, arg_min(annotation, msg_index) AS ga, arg_min(content, msg_index) AS gc, count(*) AS gn FROM a_ann WHERE color = 'green' GROUP BY session_id),
 j AS (SELECT *, regexp_replace(regexp_split_to_array(ut, '[.!?]')[1], '^\s+|\s+$', '', 'g') AS sen
   FROM ids LEFT JOIN u USING (session_id) LEFT JOIN p USING (session_id) LEFT JOIN g USING (session_id))"""
 
 
-def _partial(t: Tables) -> tuple[DataFrame, DataFrame]:
-    def of(limit: str) -> DataFrame:
-        return t.a_msg.filter(F.col("project") < limit).select("session_id").distinct()
-
-    return t.a_phase.join(of("p3"), "session_id", "left_semi"), t.a_ann.join(of("p5"), "session_id", "left_semi")
-
-
-FULL_GOAL_SQL = GOAL_SQL.replace("WHERE project < 'p3'", "").replace("WHERE project < 'p5'", "")
 GOAL_SELECT = """CASE WHEN pn IS NOT NULL AND ut IS NOT NULL THEN CASE WHEN length(pn) BETWEEN 21 AND 99 THEN pn || '. ' || pd WHEN length(sen) < 200 THEN sen ELSE pd END
         WHEN ga IS NOT NULL THEN ga || ': ' || left(gc, 300) WHEN ut IS NOT NULL THEN CASE WHEN length(sen) < 300 THEN sen ELSE left(ut, 300) END
         ELSE 'Session analysis' END"""
@@ -285,7 +274,7 @@ GOAL_SELECT = """CASE WHEN pn IS NOT NULL AND ut IS NOT NULL THEN CASE WHEN leng
       CASE WHEN pn IS NOT NULL THEN 'annotation' ELSE 'first_message' END AS goal_source FROM j""",
 )
 def session_goal(t: Tables) -> DataFrame:
-    return N.session_goal(t.a_msg, *_partial(t))
+    return N.session_goal(t.a_msg, t.a_phase, t.a_ann)
 
 
 OUTCOME_SELECT = """CASE WHEN ln IS NOT NULL THEN 'Completed ' || lower(ln) || '. ' || CASE WHEN ld <> ln AND length(ld) > 30 THEN ld ELSE '' END
@@ -302,7 +291,7 @@ LAST_SQL = """lu AS (SELECT session_id, string_agg(user_text, ' ' ORDER BY msg_i
     FROM j LEFT JOIN lu USING (session_id)""",
 )
 def session_outcome(t: Tables) -> DataFrame:
-    return N.session_outcome(t.a_msg, *_partial(t))
+    return N.session_outcome(t.a_msg, t.a_phase, t.a_ann)
 
 
 def _blog(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -313,7 +302,7 @@ def _blog(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "blog_summary",
-    f"""WITH {FULL_GOAL_SQL}, {LAST_SQL},
+    f"""WITH {GOAL_SQL}, {LAST_SQL},
     md AS (SELECT session_id, count(*) AS message_count, count(*) FILTER (is_human_prompt) AS user_message_count,
       CASE WHEN epoch(max(ts) - min(ts)) < 60 THEN '< 1 min' ELSE floor(epoch(max(ts) - min(ts)) / 60)::BIGINT || ' min' END AS duration FROM a_msg GROUP BY session_id)
     SELECT session_id, message_count, user_message_count, coalesce(pc, 0) AS phase_count, duration, {GOAL_SELECT} AS goal, {OUTCOME_SELECT} AS outcome

@@ -74,26 +74,31 @@ def file_activity(t: Tables) -> DataFrame:
 # --- chunks -----------------------------------------------------------------
 
 CHUNKS_SQL = f"""
-c AS (SELECT *, msg_index // {SIZE} AS chunk_no FROM a_tool),
+c AS (SELECT *, msg_index // {SIZE} AS chunk_no FROM a_call),
 ct AS (SELECT session_id, chunk_no, tool, count(*) AS calls, row_number() OVER (PARTITION BY session_id, chunk_no ORDER BY count(*) DESC, tool) AS rk
   FROM c GROUP BY session_id, chunk_no, tool),
 cts AS (SELECT session_id, chunk_no, string_agg(tool || '=' || calls, ',' ORDER BY rk) AS tools, max(tool) FILTER (rk = 1) AS top,
   max(calls) FILTER (rk = 1) AS n FROM ct GROUP BY ALL),
-cf AS (SELECT session_id, chunk_no, file_path, min(msg_index) AS first_seen FROM c GROUP BY ALL),
+cf AS (SELECT session_id, chunk_no, file_path, min(msg_index) AS first_seen FROM c WHERE file_path <> '' GROUP BY ALL),
 cfs AS (SELECT session_id, chunk_no, string_agg(file_path, ', ' ORDER BY first_seen, file_path) AS files, count(*) AS n_files,
   list(file_path ORDER BY first_seen, file_path) AS fl,
   count(*) FILTER (file_path LIKE '%.md') AS md, count(*) FILTER (file_path LIKE '%.ts') AS ts_files FROM cf GROUP BY ALL),
-cm AS (SELECT session_id, chunk_no, min(msg_index) AS first_msg, max(msg_index) AS last_msg,
-  coalesce(string_agg(CASE WHEN is_error THEN 'Error' WHEN tool = 'TodoWrite' THEN 'Progress update' END || ' at message ' || msg_index, ', ' ORDER BY msg_index), '') AS moments
-  FROM c GROUP BY ALL),
-chunks AS (SELECT session_id, chunk_no, first_msg, last_msg, tools, files, moments, fl, n_files,
+mo AS (SELECT session_id, msg_index AS pos, 0 AS kind, call_pos, CASE tool WHEN 'TodoWrite' THEN 'Progress update' ELSE 'Decision point' END AS what
+    FROM a_call WHERE tool IN ('TodoWrite', 'AskUserQuestion')
+  UNION ALL SELECT session_id, result_index, 1, call_pos, 'Error' FROM a_call WHERE is_error),
+mos AS (SELECT session_id, pos // {SIZE} AS chunk_no, string_agg(what || ' at message ' || pos, ', ' ORDER BY pos, kind, call_pos) AS moments FROM mo GROUP BY ALL),
+cm AS (SELECT session_id, msg_index // {SIZE} AS chunk_no, min(msg_index) AS first_msg, max(msg_index) AS last_msg FROM a_talk GROUP BY ALL),
+chunks AS (SELECT session_id, chunk_no, first_msg, last_msg, coalesce(tools, '') AS tools, coalesce(files, '') AS files, coalesce(moments, '') AS moments, fl,
+  coalesce(n_files, 0) AS n_files,
   CASE top WHEN 'Write' THEN 'Created ' || n || CASE WHEN n > 1 THEN ' files' ELSE ' file' END
     WHEN 'Edit' THEN 'Modified ' || n || CASE WHEN n > 1 THEN ' files' ELSE ' file' END
     WHEN 'Read' THEN 'Code exploration and discovery' WHEN 'TodoWrite' THEN 'Planning and task tracking'
-    WHEN 'Bash' THEN CASE WHEN n > 5 THEN 'Running tests and build commands' ELSE 'Shell commands and git operations' END END
+    WHEN 'AskUserQuestion' THEN 'Decision making and clarification' WHEN 'Grep' THEN 'Grep operations'
+    WHEN 'Bash' THEN CASE WHEN n > 5 THEN 'Running tests and build commands' ELSE 'Shell commands and git operations' END
+    ELSE 'Discussion or exploration' END
   || CASE WHEN md > 0 THEN '; ' || md || CASE WHEN md > 1 THEN ' doc files' ELSE ' doc file' END ELSE '' END
   || CASE WHEN ts_files > 0 THEN '; ' || ts_files || CASE WHEN ts_files > 1 THEN ' code files' ELSE ' code file' END ELSE '' END AS label
-  FROM cm JOIN cts USING (session_id, chunk_no) JOIN cfs USING (session_id, chunk_no))"""
+  FROM cm LEFT JOIN cts USING (session_id, chunk_no) LEFT JOIN cfs USING (session_id, chunk_no) LEFT JOIN mos USING (session_id, chunk_no))"""
 
 
 @query(
@@ -102,7 +107,7 @@ chunks AS (SELECT session_id, chunk_no, first_msg, last_msg, tools, files, momen
 )
 def chunk_index(t: Tables) -> DataFrame:
     pairs = F.transform("tools", lambda e: F.concat_ws("=", e["tool"], e["calls"]))
-    return W.chunk_index(t.a_tool, SIZE).select(
+    return W.chunk_index(t.a_call, t.a_talk, SIZE).select(
         "session_id", "chunk_no", "first_msg", "last_msg", F.array_join(pairs, ",").alias("tools"),
         F.array_join("files", ", ").alias("files"), F.array_join("moments", ", ").alias("moments"),
     )
@@ -110,7 +115,7 @@ def chunk_index(t: Tables) -> DataFrame:
 
 @query("chunk_labels", f"WITH {CHUNKS_SQL} SELECT session_id, chunk_no, label FROM chunks")
 def chunk_labels(t: Tables) -> DataFrame:
-    return W.chunk_index(t.a_tool, SIZE).select("session_id", "chunk_no", "label")
+    return W.chunk_index(t.a_call, t.a_talk, SIZE).select("session_id", "chunk_no", "label")
 
 
 @query(
@@ -118,27 +123,28 @@ def chunk_labels(t: Tables) -> DataFrame:
     f"""WITH {CHUNKS_SQL}, l AS (SELECT session_id, chunk_no, list_filter([
         (chunk_no + 1) || '. Messages ' || first_msg || '-' || last_msg, '   ' || label,
         CASE WHEN moments <> '' THEN '   Key moments: ' || moments END,
-        '   Files: ' || array_to_string(fl[1:5], ', ') || CASE WHEN n_files > 5 THEN ' ... and ' || (n_files - 5) || ' more' ELSE '' END],
+        CASE WHEN n_files > 0 THEN '   Files: ' || array_to_string(fl[1:5], ', ') END || CASE WHEN n_files > 5 THEN ' ... and ' || (n_files - 5) || ' more' ELSE '' END],
         lambda x: x IS NOT NULL) AS ls FROM chunks)
     SELECT session_id, chunk_no, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line FROM l""",
 )
 def chunk_lines(t: Tables) -> DataFrame:
-    return W.chunk_lines(W.chunk_index(t.a_tool, SIZE))
+    return W.chunk_lines(W.chunk_index(t.a_call, t.a_talk, SIZE))
 
 
 @query(
     "chunk_totals",
-    f"""WITH c AS (SELECT *, msg_index // {SIZE} AS chunk_no FROM a_tool),
+    f"""WITH c AS (SELECT *, msg_index // {SIZE} AS chunk_no FROM a_call),
     k AS (SELECT session_id, chunk_no, bool_or(tool = 'Write') AS w, bool_or(tool = 'Edit') AS e FROM c GROUP BY ALL),
-    f AS (SELECT DISTINCT session_id, chunk_no, file_path FROM c)
-    SELECT b.session_id, calls, chunks, duration_minutes, count(DISTINCT file_path) FILTER (w) AS files_created,
-      count(DISTINCT file_path) FILTER (e) AS files_modified
-    FROM (SELECT session_id, count(*) AS calls, max(chunk_no) + 1 AS chunks,
-        floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0 + 0.5)::BIGINT AS duration_minutes FROM c GROUP BY session_id) b
-    JOIN f ON f.session_id = b.session_id JOIN k ON k.session_id = f.session_id AND k.chunk_no = f.chunk_no GROUP BY ALL""",
+    f AS (SELECT session_id, count(DISTINCT file_path) FILTER (w) AS files_created, count(DISTINCT file_path) FILTER (e) AS files_modified
+      FROM c JOIN k USING (session_id, chunk_no) WHERE file_path <> '' GROUP BY session_id),
+    n AS (SELECT session_id, count(*) AS calls FROM c GROUP BY session_id),
+    b AS (SELECT session_id, max(msg_index) // {SIZE} + 1 AS chunks,
+        floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0 + 0.5)::BIGINT AS duration_minutes FROM a_talk GROUP BY session_id)
+    SELECT session_id, coalesce(calls, 0) AS calls, chunks, duration_minutes, coalesce(files_created, 0) AS files_created,
+      coalesce(files_modified, 0) AS files_modified FROM b LEFT JOIN n USING (session_id) LEFT JOIN f USING (session_id)""",
 )
 def chunk_totals(t: Tables) -> DataFrame:
-    return W.chunk_totals(t.a_tool, SIZE)
+    return W.chunk_totals(t.a_call, t.a_talk, SIZE)
 
 
 # --- decisions, transitions, phases -----------------------------------------
@@ -149,8 +155,9 @@ tr AS (SELECT session_id, msg_index, 0 AS kind, 'ExitPlanMode called' AS indicat
 
 
 def _transitions(t: Tables) -> DataFrame:
-    plans = t.a_tool.filter("k % 5 = 0")
-    return W.phase_transitions(plans, t.a_sig, plan_tool="TodoWrite")
+    exits = (F.col("tool") == "TodoWrite") & (F.col("k") % 5 == 0)
+    calls = t.a_tool.withColumn("tool", F.when(exits, W.PLAN_TOOL).otherwise(F.col("tool")))
+    return W.phase_transitions(calls, t.a_sig)
 
 
 @query(
@@ -185,40 +192,45 @@ def phase_ranges(t: Tables) -> DataFrame:
 
 @query(
     "phase_rollup",
-    f"""WITH {RANGES_SQL}, j AS (SELECT r.session_id, phase_no, name, "start", "end", msg_index, ts, tool, file_path
-      FROM ranges r JOIN a_tool t ON t.session_id = r.session_id AND msg_index BETWEEN "start" AND "end"),
+    f"""WITH {RANGES_SQL}, j AS (SELECT r.session_id, phase_no, tool, file_path
+      FROM ranges r JOIN a_call t ON t.session_id = r.session_id AND msg_index BETWEEN "start" AND "end"),
     tc AS (SELECT session_id, phase_no, string_agg(tool || ': ' || n || 'x', ', ' ORDER BY n DESC, tool) AS tools_used
-      FROM (SELECT session_id, phase_no, tool, count(*) AS n FROM j GROUP BY ALL) GROUP BY ALL)
-    SELECT j.session_id, j.phase_no, name, "start", "end", count(DISTINCT msg_index) AS message_count,
-      floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0 + 0.5)::BIGINT AS duration_minutes,
-      count(DISTINCT file_path) FILTER (tool = 'Write') AS files_created, count(DISTINCT file_path) FILTER (tool = 'Edit') AS files_modified, tools_used
-    FROM j JOIN tc ON tc.session_id = j.session_id AND tc.phase_no = j.phase_no GROUP BY ALL""",
+      FROM (SELECT session_id, phase_no, tool, count(*) AS n FROM j GROUP BY ALL) GROUP BY ALL),
+    fc AS (SELECT session_id, phase_no, count(DISTINCT file_path) FILTER (tool = 'Write') AS files_created,
+      count(DISTINCT file_path) FILTER (tool = 'Edit') AS files_modified FROM j WHERE file_path <> '' GROUP BY ALL),
+    mc AS (SELECT r.session_id, phase_no, count(*) AS message_count, floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0 + 0.5)::BIGINT AS duration_minutes
+      FROM ranges r JOIN a_talk t ON t.session_id = r.session_id AND msg_index BETWEEN "start" AND "end" GROUP BY ALL)
+    SELECT session_id, phase_no, name, "start", "end", coalesce(message_count, 0) AS message_count, duration_minutes,
+      coalesce(files_created, 0) AS files_created, coalesce(files_modified, 0) AS files_modified, coalesce(tools_used, '') AS tools_used
+    FROM ranges LEFT JOIN mc USING (session_id, phase_no) LEFT JOIN tc USING (session_id, phase_no) LEFT JOIN fc USING (session_id, phase_no)""",
 )
 def phase_rollup(t: Tables) -> DataFrame:
-    return W.phase_rollup(t.a_tool, _ranges(t))
+    return W.phase_rollup(t.a_call, t.a_talk, _ranges(t))
 
 
 ANGLE_SQL = f"""WITH {TRANSITIONS_SQL},
-f AS (SELECT session_id, max(msg_index) + 1 AS messages, count(*) FILTER (tool = 'Edit') AS edits, count(*) FILTER (tool = 'Bash') AS bash,
-  count(*) FILTER (tool = 'TodoWrite') AS todos, count(*) FILTER (tool = 'Read') AS reads,
-  count(DISTINCT CASE WHEN tool = 'Write' THEN file_path END) AS created,
-  floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0 + 0.5)::BIGINT AS minutes,
-  session_id IN (SELECT session_id FROM tr WHERE contains(lower(indicator), 'error')) AS has_errors FROM a_tool GROUP BY session_id)
+cl AS (SELECT session_id, count(*) FILTER (tool = 'Edit') AS edits, count(*) FILTER (tool = 'Bash') AS bash,
+  count(*) FILTER (tool = 'TodoWrite') AS todos, count(*) FILTER (tool = 'AskUserQuestion') AS questions, count(*) FILTER (tool = 'Read') AS reads,
+  count(*) FILTER (tool = 'Grep') AS greps, count(DISTINCT CASE WHEN tool = 'Write' THEN file_path END) AS created FROM a_call GROUP BY session_id),
+tk AS (SELECT session_id, count(*) AS messages, floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0 + 0.5)::BIGINT AS minutes FROM a_talk GROUP BY session_id),
+f AS (SELECT session_id, messages, minutes, coalesce(edits, 0) AS edits, coalesce(bash, 0) AS bash, coalesce(todos, 0) AS todos, coalesce(questions, 0) AS questions,
+  coalesce(reads, 0) AS reads, coalesce(greps, 0) AS greps, coalesce(created, 0) AS created,
+  session_id IN (SELECT session_id FROM tr WHERE contains(lower(indicator), 'error')) AS has_errors FROM tk LEFT JOIN cl USING (session_id))
 SELECT session_id, messages, created, has_errors, CASE WHEN messages < 20 AND created > 5 THEN 'one-shot-success'
   WHEN edits > 10 OR (bash > 8 AND has_errors) THEN 'debugging-struggle'
   WHEN created / messages > 0.15 AND minutes < 45 THEN 'speed-efficiency'
-  WHEN todos > 5 THEN 'workflow-patterns' WHEN reads > 15 THEN 'learning-new-tech' ELSE 'workflow-patterns' END AS angle,
+  WHEN todos > 5 OR questions > 3 THEN 'workflow-patterns' WHEN reads > 15 OR greps > 10 THEN 'learning-new-tech' ELSE 'workflow-patterns' END AS angle,
   CASE WHEN messages < 20 AND created > 5 THEN 'The initial request and how clear it was'
   WHEN edits > 10 OR (bash > 8 AND has_errors) THEN 'What went wrong and why'
   WHEN created / messages > 0.15 AND minutes < 45 THEN 'What enabled the fast implementation'
-  WHEN todos > 5 THEN 'Your planning and task management approach' WHEN reads > 15 THEN 'What you were trying to learn'
+  WHEN todos > 5 OR questions > 3 THEN 'Your planning and task management approach' WHEN reads > 15 OR greps > 10 THEN 'What you were trying to learn'
   ELSE 'Your planning and task management approach' END AS first_focus
 FROM f"""
 
 
 @query("session_angle", ANGLE_SQL)
 def session_angle(t: Tables) -> DataFrame:
-    out = W.session_angle(W.session_facts(t.a_tool, _transitions(t)))
+    out = W.session_angle(W.session_facts(t.a_call, t.a_talk, _transitions(t)))
     return out.select("session_id", "messages", "created", "has_errors", "angle", F.col("focus")[0].alias("first_focus"))
 
 
@@ -319,7 +331,8 @@ def artifact_scores(t: Tables) -> DataFrame:
 
 @query(
     "top_artifacts",
-    f"WITH {SCORED_SQL} SELECT * FROM scored ORDER BY score DESC, session_id, msg_index, block_no LIMIT 20",
+    f"""WITH {SCORED_SQL} SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, msg_index, block_no) AS rank
+    FROM scored QUALIFY rank <= 20""",
 )
 def top_artifacts(t: Tables) -> DataFrame:
     return A.top_artifacts(A.score_artifacts(_artifacts(t)))

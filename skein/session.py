@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: temporary folders of local sessions, by application
-_LOCAL_FOLDERS: dict[str, str] = {}
-
-
 def build_session(app: str = "skein", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect; `conf` overrides them."""
     settings = {
@@ -32,20 +27,9 @@ def build_session(app: str = "skein", master: str | None = None, **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, from `spark.checkpoint.dir`.
-
-    A local session without the setting gets a temporary folder; a cluster
-    session must name one.
-    """
+    """Folder every executor can reach: `spark.checkpoint.dir`, else one inside the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="skein-")
-    return _LOCAL_FOLDERS[app]
+    return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

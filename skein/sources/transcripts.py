@@ -23,6 +23,7 @@ CLAUDE = "claude-code"
 CODEX = "codex"
 CODEX_PROJECT = "codex"
 CODEX_DEPTH = 3
+SESSION_NAME = r"([^/]+)\.jsonl$"
 
 # Kept channels and text block types of rollout messages.
 CHANNELS = ("final", "commentary")
@@ -66,7 +67,7 @@ ROLLOUT_ELEMENTS = "payload struct<content: array<struct<type: string, text: str
 def _line_table(files: DataFrame, source: str, project: Column) -> DataFrame:
     path = F.col("file_path")
     ids = files.select(
-        F.regexp_extract(path, r"([^/]+)\.jsonl$", 1).alias("session_id"),
+        F.regexp_extract(path, SESSION_NAME, 1).alias("session_id"),
         project.alias("project"),
         F.lit(source).alias("source"),
         "*",
@@ -107,7 +108,7 @@ def read_codex_lines(spark: SparkSession, root: str) -> DataFrame:
     root = root.rstrip("/")
     rows = _read_lines(spark, root, recursiveFileLookup="true", pathGlobFilter="*.jsonl")
     rel = F.regexp_replace(F.col("file_path"), r"^[a-z0-9]+:(?://)?(?=/)", "")
-    depth = F.size(F.split(F.substring(rel, len(root) + 2, 1 << 16), "/")) - 1
+    depth = F.size(F.split(F.substr(rel, F.lit(len(root) + 2)), "/")) - 1
     return _line_table(rows.filter(depth <= CODEX_DEPTH), CODEX, F.lit(CODEX_PROJECT))
 
 
@@ -130,6 +131,20 @@ def read_lines(
     return out
 
 
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """file_path, session_id, file_size of every transcript below `root`; contents are not read."""
+    found = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.jsonl").load(root)
+    # scans skip empty files, the listing behind them does not
+    every = spark.createDataFrame([(p,) for p in found.inputFiles()], "file_path string").select(
+        F.regexp_replace("file_path", "^([a-z0-9]+):///", "$1:/").alias("file_path")  # as scans name it
+    )
+    sizes = found.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"))
+    return every.join(sizes, "file_path", "left").select(
+        "file_path", F.regexp_extract("file_path", SESSION_NAME, 1).alias("session_id"),
+        F.coalesce("file_size", F.lit(0)).alias("file_size"),
+    )
+
+
 def read_complete_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of files still being written: text after the last line break is held back.
 

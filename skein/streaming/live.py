@@ -57,7 +57,7 @@ def ingest_batch(
         sinks.commit_batch(
             {
                 "messages": stored,
-                "partials": S.partial_rollup(stored),
+                "partials": S.partial_rollup(stored, transcripts.working_dirs(lines)),
                 "session_files": S.session_files(S.explode_files(stored)),
                 "private": gone,
             },
@@ -83,24 +83,34 @@ def start_ingest(
     return writer.start()
 
 
-def read_messages(spark: SparkSession, folder: str) -> DataFrame:
-    """Committed messages of sessions that are not private in any batch."""
-    return S.without_sessions(
-        sinks.read_committed(spark, folder, "messages").drop("batch"),
-        sinks.read_committed(spark, folder, "private").select("session_id").distinct(),
-    )
+def _merged(spark: SparkSession, folder: str) -> DataFrame:
+    return S.merge_rollups(sinks.read_committed(spark, folder, "partials").drop("batch"))
+
+
+def _held_back(spark: SparkSession, folder: str, strict_source: str) -> DataFrame:
+    """Sessions that are private in any batch, or whose scope no batch has told yet."""
+    private = sinks.read_committed(spark, folder, "private").select("session_id")
+    return private.union(S.unplaced_sessions(_merged(spark, folder), strict_source)).distinct()
+
+
+def read_messages(spark: SparkSession, folder: str, strict_source: str = transcripts.CODEX) -> DataFrame:
+    """Committed messages of sessions in scope.
+
+    A session of `strict_source` becomes readable with the first batch that
+    states its working directory.
+    """
+    messages = sinks.read_committed(spark, folder, "messages").drop("batch")
+    return S.without_sessions(messages, _held_back(spark, folder, strict_source))
 
 
-def read_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    merged = S.merge_rollups(sinks.read_committed(spark, folder, "partials").drop("batch"))
-    gone = sinks.read_committed(spark, folder, "private").select("session_id").distinct()
-    return S.without_sessions(S.finish_rollup(merged), gone)
+def read_sessions(spark: SparkSession, folder: str, strict_source: str = transcripts.CODEX) -> DataFrame:
+    rolled = S.finish_rollup(_merged(spark, folder))
+    return S.without_sessions(rolled, _held_back(spark, folder, strict_source))
 
 
-def read_session_files(spark: SparkSession, folder: str) -> DataFrame:
+def read_session_files(spark: SparkSession, folder: str, strict_source: str = transcripts.CODEX) -> DataFrame:
     pairs = sinks.read_committed(spark, folder, "session_files").drop("batch").distinct()
-    gone = sinks.read_committed(spark, folder, "private").select("session_id").distinct()
-    return S.without_sessions(pairs, gone)
+    return S.without_sessions(pairs, _held_back(spark, folder, strict_source))
 
 
 def running_sessions(messages: DataFrame) -> DataFrame:

@@ -90,6 +90,12 @@ def test_chained_secrets(spark):
     text = "token: " + "b" * 25 + 'token="' + "C" * 22
     got = Z.redact(spark.createDataFrame([(text,)], "text string")).first()
     assert got.redacted == 'token: [REDACTED_SECRET]="[REDACTED_SECRET]' and got.redaction_count == 2
+    gap = " " * 5000
+    far = ["password:" + " " * 1500 + "a" * 24, "AWS_SECRET_ACCESS_KEY=" + gap + "Q" * 40, f'auth:{gap}"{"b" * 20}', "token=" + gap + "short"]
+    rows = Z.redact(spark.createDataFrame([(t,) for t in far], "text string")).collect()
+    assert [(r.redaction_count, len(r.redacted_types)) for r in rows] == [(1, 1), (1, 1), (1, 1), (0, 0)]
+    assert rows[1].redacted == "AWS_SECRET_ACCESS_KEY=" + gap + "[REDACTED_AWS_SECRET]" and rows[3].redacted == far[3]
+    assert not any("aaaa" in r.redacted or "bbbb" in r.redacted for r in rows)
     summary = Z.redaction_summary(Z.redact(spark.createDataFrame([(text,), ("a@b.co",)], "text string"))).first()
     assert summary.summary == "🔒 Redacted 3 sensitive item(s): Generic secret, Email"
 

@@ -132,3 +132,18 @@ def test_learning_files_and_artifacts(spark, tmp_path, write_lines):
     write_lines(tmp_path / "ann" / "s1-annotations.json", [json.dumps(doc)])
     notes, phases = logs.read_annotations(spark, str(tmp_path / "ann"))
     assert notes.first().session_id == "s1" and sorted(r.msg_index for r in phases.collect()) == [0, 2]
+
+
+def test_unknown_scope_is_held_back_until_told(spark, tmp_path):
+    out = str(tmp_path / "out")
+
+    def line(n, **obj):
+        return {"session_id": "x", "project": "codex", "source": R.CODEX, "file_path": "/x.jsonl", "line_no": n, "line": json.dumps({"timestamp": f"2026-01-01T00:00:{n:02d}Z", **obj})}
+
+    said = {"type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "hello"}]}}
+    live.ingest_batch(spark.createDataFrame([line(0, **said)], live.LINE_LOG), 0, out)
+    assert live.read_messages(spark, out).count() == 0 and live.read_sessions(spark, out).count() == 0
+    told = {"type": "session_meta", "payload": {"cwd": "/w/here"}}
+    live.ingest_batch(spark.createDataFrame([line(1, **told)], live.LINE_LOG), 1, out)
+    assert [r.user_text for r in live.read_messages(spark, out).collect()] == ["hello"]
+    assert [(r.cwd, r.msg_count) for r in live.read_sessions(spark, out).collect()] == [("/w/here", 1)]

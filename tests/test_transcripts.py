@@ -165,6 +165,25 @@ def test_incremental_append_and_replacement(spark, tmp_path, write_lines):
     write_lines(path, codex_rows()[:2])
     replaced = S.replaced_files(R.read_codex_lines(spark, str(tmp_path)), cursor).collect()
     assert [r.session_id for r in replaced] == ["s"]
+    path.write_text("")
+    assert S.replaced_files(R.read_codex_lines(spark, str(tmp_path)), cursor).count() == 0
+    emptied = S.replaced_files(R.list_files(spark, str(tmp_path)), cursor).collect()
+    assert [r.session_id for r in emptied] == ["s"]
+
+
+def test_session_directory_comes_from_any_line(spark, tmp_path, write_lines):
+    write_lines(tmp_path / "s.jsonl", [item("user", "early"), meta("/work/place"), item("assistant", "done", "final"), meta("/other")])
+    write_lines(tmp_path / "bare.jsonl", [item("user", "nowhere")])
+    write_lines(tmp_path / "quiet.jsonl", [meta("/quiet")])
+    lines = R.read_codex_lines(spark, str(tmp_path))
+    messages, dirs = R.parse_messages(lines, [R.CODEX]), R.working_dirs(lines)
+    got = {r.session_id: (r.cwd, r.msg_count) for r in S.session_rollup(messages, dirs).collect()}
+    assert got == {"s": ("/work/place", 2), "bare": (None, 1)}
+    parts = [
+        S.partial_rollup(messages.filter(c), dirs.filter(c)) for c in ("line_no >= 2", "line_no < 2")
+    ]
+    merged = S.finish_rollup(S.merge_rollups(parts[0].unionByName(parts[1])))
+    assert {r.session_id: (r.cwd, r.msg_count) for r in merged.collect()} == got
 
 
 def test_unterminated_line_is_held_back(spark, tmp_path, write_lines):

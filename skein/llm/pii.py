@@ -258,7 +258,7 @@ def fit(found: DataFrame, fit_candidates: int = FIT_CANDIDATES):
     if classes[0] != 0.0 or classes[1] != 1.0:
         return None
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, labelCol="label", cacheNodeIds=False).fit(train)
-    judged = model.transform(rows.filter("test")).select("kind", "label", F.round(vector_to_array("probability")[1], 2).alias("p"))
+    judged = model.transform(rows.filter("test")).select("kind", "label", (F.floor(vector_to_array("probability")[1] * 100) / 100).alias("p"))
     bins = judged.groupBy("kind", "p").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()
     thresholds = {}
     for kind in range(len(KINDS)):

@@ -24,10 +24,10 @@ def test_statistics_count_shares():
 
 def test_risk_is_learned_without_negatives():
     rng = np.random.default_rng(1)
-    good, bad = rng.normal(0, 1, (4000, quality.WIDTH)), rng.normal(0, 1, (1000, quality.WIDTH))
+    good, bad = rng.normal(0, 1, (20_000, quality.WIDTH)), rng.normal(0, 1, (6000, quality.WIDTH))
     bad[:, 3] += 4
-    model = quality.learn(good[:2000], np.concatenate([good[2000:], bad[:500]]), 0.8)
-    assert (model.score(good) >= 0.5).mean() > 0.93 and (model.score(bad[500:]) < 0.5).mean() > 0.9
+    model = quality.learn(good[:8000], np.concatenate([good[8000:16_000], bad[:2000]]), 0.8)
+    assert (model.score(good[16_000:]) >= 0.5).mean() > 0.95 and (model.score(bad[2000:]) < 0.5).mean() > 0.75
 
 
 def test_held_out_accuracy(spark):

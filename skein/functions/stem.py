@@ -131,6 +131,16 @@ def _stem_words(batch: pd.Series) -> pd.Series:
     return batch.map(porter)
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _stem_groups(batch: pd.Series) -> pd.Series:
+    return batch.map(lambda groups: None if groups is None else [[porter(w) for w in words] for words in groups])
+
+
+def stem_groups(groups: Column) -> Column:
+    """Stems of an array of token arrays."""
+    return _stem_groups(groups)
+
+
 def stem_array(tokens: Column) -> Column:
     return _stem_arrays(tokens)
 

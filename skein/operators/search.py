@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.functions.stem import porter, stem_array
+from skein.functions.stem import porter, stem_array, stem_groups
 from skein.operators.ordered import chunk_of, top_k
 
 # Field weights and ranking constants.
@@ -275,18 +275,38 @@ def match_field(index: Index, field: str, terms: Sequence[str]) -> DataFrame:
     )
 
 
-def snippet(text: str | Column, terms: Sequence[str], width: int = SNIPPET_TOKENS) -> Column:
+def hit_context(
+    found: DataFrame, messages: DataFrame, terms: Sequence[str], text: str = "text", stem: bool = True
+) -> DataFrame:
+    """Add the time and a snippet of the best message to the rows of a session search.
+
+    `found` has `best_msg_index` and as many rows as the search's limit, so only
+    those messages are cut.
+    """
+    best = messages.select("session_id", F.col("msg_index").alias("best_msg_index"), F.col("ts").alias("best_ts"), text)
+    joined = found.join(best, ["session_id", "best_msg_index"], "left")
+    return joined.withColumn("snippet", snippet(text, terms, stem=stem)).drop(text)
+
+
+def snippet(text: str | Column, terms: Sequence[str], width: int = SNIPPET_TOKENS, stem: bool = False) -> Column:
     """Up to `width` words from a quarter width before the first hit, hits in brackets.
 
     Words are the text split at whitespace; a word is a hit when its folded
-    letters and digits contain a term as a token. Null without a hit.
+    letters and digits contain a term as a token, stemmed first with `stem` as
+    in a stemmed index. Null without a hit.
     """
     col = F.col(text) if isinstance(text, str) else text
     words = F.filter(F.split(col, r"\s+"), lambda w: w != "")
     wanted = F.array(*[F.lit(t) for t in terms])
-    flagged = F.transform(
-        words, lambda w: F.struct(w.alias("w"), F.arrays_overlap(X.tokens(w), wanted).alias("hit"))
-    )
+    if stem:
+        stems = stem_groups(F.transform(words, X.tokens))
+        flagged = F.zip_with(
+            words, stems, lambda w, s: F.struct(w.alias("w"), F.arrays_overlap(s, wanted).alias("hit"))
+        )
+    else:
+        flagged = F.transform(
+            words, lambda w: F.struct(w.alias("w"), F.arrays_overlap(X.tokens(w), wanted).alias("hit"))
+        )
     first = F.array_position(F.transform(flagged, lambda s: s["hit"]), F.lit(True)).cast("int")
     start = F.greatest(first - width // 4, F.lit(1))
     cut = F.slice(flagged, start, F.lit(width))

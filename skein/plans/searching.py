@@ -9,7 +9,7 @@ from skein.functions import text as X
 from skein.functions.stem import stem_word
 from skein.operators import search as Q
 from skein.operators import sessions as S
-from skein.plans.adapters import Tables
+from skein.plans.adapters import Tables, stamp
 from skein.plans.ingest import SESSIONS_SQL
 from skein.plans.registry import query
 
@@ -201,23 +201,44 @@ def search_field(t: Tables) -> DataFrame:
     return Q.match_field(index(t), "file_paths", ["src", "ts"])
 
 
-@query(
-    "snippets",
-    rf"""WITH w AS (SELECT session_id, msg_index, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS words FROM a_msg),
-    f AS (SELECT *, list_transform(words, lambda x: list_has_any({TOK.format('x').replace('lambda x: x <>', 'lambda y: y <>')}, ['the', 'with'])) AS hits FROM w),
-    p AS (SELECT *, list_position(hits, true) AS hit FROM f),
-    s AS (SELECT *, greatest(hit - 5, 1) AS start FROM p WHERE hit > 0)
-    SELECT session_id, msg_index, CASE WHEN start > 1 THEN '…' ELSE '' END || array_to_string(
-        list_transform(range(start, least(start + 20, len(words) + 1)),
-          lambda i: CASE WHEN hits[i] THEN '[' || words[i] || ']' ELSE words[i] END), ' ')
-        || CASE WHEN start + 19 < len(words) THEN '…' ELSE '' END AS snippet
-    FROM s""",
-)
+SNIPPETS_SQL = rf"""
+w AS (SELECT session_id, msg_index, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS words FROM a_msg),
+f AS (SELECT *, list_transform(words, lambda x: list_has_any({TOK.format('x').replace('lambda x: x <>', 'lambda y: y <>')}, [{{terms}}])) AS hits FROM w),
+p AS (SELECT *, list_position(hits, true) AS hit FROM f),
+s AS (SELECT *, greatest(hit - 5, 1) AS start FROM p WHERE hit > 0),
+snip AS (SELECT session_id, msg_index, CASE WHEN start > 1 THEN '…' ELSE '' END || array_to_string(
+    list_transform(range(start, least(start + 20, len(words) + 1)),
+      lambda i: CASE WHEN hits[i] THEN '[' || words[i] || ']' ELSE words[i] END), ' ')
+    || CASE WHEN start + 19 < len(words) THEN '…' ELSE '' END AS snippet FROM s)"""
+
+
+def snippets_sql(terms: list[str]) -> str:
+    return SNIPPETS_SQL.replace("{terms}", ", ".join(f"'{t}'" for t in terms))
+
+
+@query("snippets", f"WITH {snippets_sql(['the', 'with'])} SELECT * FROM snip")
 def snippets(t: Tables) -> DataFrame:
     out = t.a_msg.select("session_id", "msg_index", Q.snippet("text", ["the", "with"]).alias("snippet"))
     return out.filter("snippet is not null")
 
 
+@query(
+    "search_hits",
+    f"""WITH {SCORES}, best AS (SELECT session_id, max(score) AS score FROM scores GROUP BY session_id),
+    top AS (SELECT b.session_id, b.score, (SELECT min(msg_index) FROM scores s WHERE s.session_id = b.session_id
+        AND s.score = b.score) AS best_msg_index FROM best b SEMI JOIN a_msg m ON m.session_id = b.session_id ORDER BY b.score DESC, b.session_id LIMIT 10),
+    {snippets_sql(TERMS)}
+    SELECT t.session_id, score, best_msg_index, strftime(ts, '%Y-%m-%d %H:%M:%S') AS best_ts, snippet
+    FROM top t JOIN a_msg m ON m.session_id = t.session_id AND m.msg_index = best_msg_index
+    LEFT JOIN snip n ON n.session_id = t.session_id AND n.msg_index = best_msg_index""",
+)
+def search_hits(t: Tables) -> DataFrame:
+    talk = S.session_rollup(t.a_msg).select("session_id")
+    found = Q.best_sessions(Q.bm25_scan(corpus(t), TERMS, stem=False), talk)
+    out = Q.hit_context(found, t.a_msg, TERMS, stem=False)
+    return out.select("session_id", "score", "best_msg_index", stamp("best_ts").alias("best_ts"), "snippet")
+
+
 @query(
     "read_window",
     """WITH req AS (SELECT session_id || ':' || msg_index AS request_id, session_id, msg_index + 1 AS target FROM a_msg),

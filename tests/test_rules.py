@@ -211,3 +211,13 @@ def test_artifact_bounds(spark):
 def test_lines_join_to_text(spark):
     rows = spark.createDataFrame([("s", 0, 1, "b"), ("s", 0, 0, "a"), ("s", 1, 0, "c")], "session_id string, section int, pos int, line string")
     assert D.join_lines(rows, ["session_id"], ["section", "pos"]).first().text == "a\nb\nc"
+
+
+def test_snippet_marks_stemmed_words(spark):
+    from skein.operators import search as Q
+
+    row = spark.createDataFrame([("we keep editing-files, Edited twice, never credit",)], "text string")
+    terms = Q.query_terms(["edits"])
+    got = row.select(Q.snippet("text", terms, stem=True).alias("s")).first().s
+    assert got == "we keep [editing-files,] [Edited] twice, never credit"
+    assert row.select(Q.snippet("text", ["zebra"], stem=True).alias("s")).first().s is None

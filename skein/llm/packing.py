@@ -74,6 +74,8 @@ class Ids(dict):
                     new.append(w)
                 else:
                     self[w] = known
+        if not new:
+            return
         found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
         ids = np.array(found.ids, dtype="<u4").tobytes()
         starts = np.fromiter((a for a, _ in found.offsets), np.int64)

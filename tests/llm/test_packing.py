@@ -28,6 +28,15 @@ def test_ids_are_the_tokenizers(spark, tokenizer):
         part = texts[start : start + 50]
         for t, got in zip(part, ids.of(part)):
             assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t[:80]
+    assert list(ids.of(texts[:50])) == list(ids.of(texts[:50])) and list(ids.of([""])) == [b""]  # nothing new to learn
+
+
+def test_a_full_word_table_gives_the_same_ids(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    ids = packing.Ids(WORD_TOKENIZER)
+    texts = [" ".join(f"word{(i * j) % 97}" for j in range(30)) for i in range(60)]
+    for t in texts:
+        assert np.frombuffer(next(ids.of([t])), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def check(rows, texts, tokenizer, sequence):

@@ -138,7 +138,7 @@ def exact_groups(
     n_repeated = slots.filter("n > 1").count()
     # whole texts meet only where a key repeats; grouping by the text compares its bytes
     texts = docs.select(key.alias("key"), text.alias("text")).join(
-        bounded(repeated, n_repeated, 16), "key", "left_semi"
+        bounded(repeated, n_repeated, 72), "key", "left_semi"
     )
     links = texts.groupBy("key", "text").agg(F.count(F.lit(1)).alias("equal"))
     links = links.groupBy("key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha")).agg(
@@ -158,7 +158,7 @@ def exact_groups(
         F.col("keep_id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), F.lit(True).alias("kept"), "sha"
     )
     groups = stored.filter("n > 1").select("key", "sha", "n", "keep_id", "keep_row")
-    members = entries.join(bounded(groups, n_repeated, 96), ["key", "sha"]).select(
+    members = entries.join(bounded(groups, n_repeated, 160), ["key", "sha"]).select(
         "doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), "sha"
     )
     return alone.unionByName(members).select(
@@ -180,7 +180,7 @@ def drop_copies(docs: DataFrame, **options) -> DataFrame:
     def on(side: DataFrame):
         return F.col("doc_id").eqNullSafe(side["_id"]) & (F.col(digest) == side["_sha"])
 
-    side = bounded(moved.select("_id", "_sha"), n_moved, 96)
+    side = bounded(moved.select("_id", "_sha"), n_moved, 160)
     stay = marked.join(side, on(side), "left_anti")
     if n_again:  # rows that repeat both id and text
         again = moved.filter("kept").select("_id", "_sha")

@@ -133,13 +133,13 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, sma
     joined = materialise(components(links(distinct.select("fp"), radius, small)), "simhash-joined")
     n_joined = joined.count()
     # only fingerprints with a link need a second look
-    members = distinct.join(bounded(joined, n_joined, 16), F.col("fp") == F.col("node"))
+    members = distinct.join(bounded(joined, n_joined, 72), F.col("fp") == F.col("node"))
     members = materialise(members.select("fp", "first", "component"), "simhash-members")
     named = members.groupBy("component").agg(F.min("first").alias("component_id"))
-    members = members.join(bounded(named, n_joined, 16), "component").select("fp", "component_id")
-    labels = distinct.join(bounded(materialise(members, "simhash-named"), n_joined, 16), "fp", "left")
+    members = members.join(bounded(named, n_joined, 72), "component").select("fp", "component_id")
+    labels = distinct.join(bounded(materialise(members, "simhash-named"), n_joined, 72), "fp", "left")
     labels = labels.select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(bounded(labels, distinct.count(), 16), "fp").select(
+    return prints.join(bounded(labels, distinct.count(), 72), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -149,4 +149,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     groups = near_groups(docs, **options)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     gone = materialise(gone, "simhash-gone")
-    return docs.join(bounded(gone, gone.count(), 16), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(bounded(gone, gone.count(), 72), "doc_id", "left_anti").select(docs.columns)

@@ -1,17 +1,18 @@
 """Personal data by candidate gradient boosting.
 
 Fixed patterns give the base spans (email, ip, card, phone), which always stay.
-Wider generators propose more, overlapping spans: spelled-out addresses,
+Wider generators propose more spans, which overlap between kinds but not within one: spelled-out addresses,
 numbers without a plus sign, cards with unusual separators, bracketed or
 colon-separated host addresses. Every candidate gets format and context
 features. Boosted trees learn from the base spans, from the same spans
 rewritten the way the generators expect them, and from candidates that fail a
-hard check (digit count, check sum, range, a letter or digit next to them). The
-trees then judge the candidates that are neither; a threshold per kind, set on
+hard check (digit count, check sum, range, a date or decimal, a word that names another
+number, a letter or digit next to them). These stay out; the trees then judge
+all other candidates, however they are grouped; a threshold per kind, set on
 rows kept out of training, selects the redactions.
 
 Training takes about `FIT_CANDIDATES` candidates, chosen by a hash; every
-candidate of every whole text is judged.
+candidate of every whole text that no hard check settles is judged.
 
 Defined cases: a null text is the empty text, without spans; a null doc_id is
 returned as null; repeated rows each get a row; with too few examples of a kind
@@ -56,7 +57,11 @@ _WIDE = {
     2: re.compile(r"(?<![0-9])[0-9](?:[ ./\-]{0,2}[0-9]){12,22}(?![0-9])"),
     3: re.compile(r"(?<![0-9])(?:\+|00|\()?[0-9][0-9 ().\-/]{5,22}[0-9](?![0-9])"),
 }
-_SPELLED = re.compile(r"[(\[{](?:at|dot)[)\]}]| dot ", re.I)
+_AT = re.compile(r"@|\(at\)|\[at\]|\{at\}| at ", re.I)
+_HOST = re.compile(r" ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9-]{1,63})+", re.I)
+_DATE = re.compile(r"(?:(?:19|20)[0-9]{2}[-./ ](?:0?[1-9]|1[0-2])[-./ ](?:0?[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[-./ ](?:0?[1-9]|[12][0-9]|3[01])[-./ ](?:19|20)[0-9]{2})(?![0-9])")
+#: words before a number that say it is no telephone
+_OTHER = re.compile(r"\b(?:order|invoice|build|version|isbn|serial|total|sum|ticket|batch|timestamp)\b\W*(?:no\.?|number|id|is|of)?\W*$", re.I)
 #: words before a span that speak for its kind
 _CUES = {
     0: re.compile(r"mail|contact|write|reach", re.I),
@@ -101,6 +106,21 @@ def _emails(text: str) -> Iterator[Span]:
         at = text.find("@", max(at + 1, end))
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of the wide address pattern, found from their at signs, which keeps long runs linear."""
+    end, m = 0, _AT.search(text)
+    while m:
+        stop = m.start() - (m.start() > end and text[m.start() - 1] == " ")
+        start = stop
+        while start > max(end, stop - 64) and text[start - 1] in _LOCAL:
+            start -= 1
+        host = _HOST.match(text, m.end()) if start < stop else None
+        if host:
+            yield start, host.end()
+            end = host.end()
+        m = _AT.search(text, end if host else m.start() + 1)
+
+
 def base_spans(text: str) -> list[Span]:
     """(kind, start, end) of the fixed patterns, by kind and start; code points, end exclusive."""
     out = list(_emails(text)) if "@" in text else []
@@ -115,7 +135,7 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-FEATURES = 24
+FEATURES = 25
 
 
 def features(kind: int, span: str, left: str, right: str) -> list[float]:
@@ -146,36 +166,40 @@ def features(kind: int, span: str, left: str, right: str) -> list[float]:
         kind_of(right[:1]),
         float(bool(_CUES[kind].search(left[-40:]))),
         float(left[-1:] in "([{\"'=:<"),
+        float(bool(_OTHER.search(left))),
         float(sum(c.isalpha() for c in left[-10:])),
     ]
 
 
 def _broken(kind: int, span: str, left: str, right: str) -> bool:
-    """True when a candidate fails a hard check of its kind."""
+    """True when a candidate certainly isn't of its kind; how a number is grouped says nothing."""
     if left[-1:].isalnum() or right[:1].isalnum():
         return True
     groups = re.findall(r"[0-9]+", span)
     digits = "".join(groups)
     if kind == 0:
         tail = re.split(r"[^A-Za-z0-9]+", span)[-1]
-        return not (tail.isalpha() and 2 <= len(tail) <= 12)
+        # a sentence that ends is no host
+        return not (tail.isalpha() and 2 <= len(tail) <= 12) or ". " in span
     if kind == 1:
         return ":" not in span and (not all(map(_small, groups)) or right[:2].strip(".") != right[:2] and right[1:2].isdigit())
     if kind == 2:
         return not 13 <= len(digits) <= 19 or not luhn(digits) or len(set(digits)) == 1
-    return not 8 <= len(digits) <= 15 or len(set(digits)) < 3 or len(groups) < 3
+    if not 8 <= len(digits) <= 15 or len(set(digits)) < 3 or _DATE.match(span) or re.fullmatch(r"[0-9]+\.[0-9]+", span):
+        return True
+    return bool(_OTHER.search(left)) and not _CUES[3].search(left[-40:])
 
 
-def _rewritten(kind: int, span: str) -> str:
-    """A base span in a form that only the generators find."""
+def _rewritten(kind: int, span: str) -> list[str]:
+    """A base span in forms that only the generators find."""
     if kind == 0:
-        return span.replace("@", " at ").replace(".", " dot ")
+        return [span.replace("@", " at ").replace(".", " dot "), span.replace("@", " at ")]
     if kind == 1:
-        return span.replace(".", "[.]")
+        return [span.replace(".", "[.]")]
+    digits = re.sub(r"[^0-9]", "", span)
     if kind == 2:
-        digits = re.sub(r"[ -]", "", span)
-        return ".".join(digits[i : i + 4] for i in range(0, len(digits), 4))
-    return span.lstrip("+")
+        return [".".join(digits[i : i + 4] for i in range(0, len(digits), 4))]
+    return [span.lstrip("+"), digits, f"{digits[:3]} {digits[3:]}", f"{digits[:3]}-{digits[3:]}"]
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple]:
@@ -189,22 +213,22 @@ def candidates(text: str, base: list[Span]) -> list[tuple]:
         left, right = around(start, end)
         span = text[start:end]
         out.append((kind, start, end, 1, features(kind, span, left, right)))
-        out.append((kind, start, end, 1, features(kind, _rewritten(kind, span), left, right)))
+        out += [(kind, start, end, 1, features(kind, form, left, right)) for form in _rewritten(kind, span)]
     numbers = bool(_DIGIT.search(text))
     taken = sorted((s, e) for _, s, e in base)
     for kind, pattern in _WIDE.items():
-        if not (numbers if kind else "@" in text or _SPELLED.search(text)):
+        if kind and not numbers:
             continue
         at = 0
-        for m in pattern.finditer(text):
-            start, end = m.span()
+        for start, end in (m.span() for m in pattern.finditer(text)) if kind else addresses(text):
             while at < len(taken) and taken[at][1] <= start:
                 at += 1
             if at < len(taken) and taken[at][0] < end:
                 continue  # a base span is already here
             left, right = around(start, end)
-            label = 0 if _broken(kind, m.group(), left, right) else -1
-            out.append((kind, start, end, label, features(kind, m.group(), left, right)))
+            span = text[start:end]
+            label = 0 if _broken(kind, span, left, right) else -1
+            out.append((kind, start, end, label, features(kind, span, left, right)))
     return out
 
 
@@ -269,7 +293,9 @@ def fit(found: DataFrame, fit_candidates: int = FIT_CANDIDATES):
         for p, g, m in own:
             good, n = good + g, n + m
             if p >= LEAST and good >= PRECISION * n:
-                thresholds[kind] = p
+                # in a stretch without held-out candidates every threshold is as precise: its middle
+                below = max((q for q, _, _ in own if q < p), default=0.0)
+                thresholds[kind] = max(LEAST, (p + below) / 2)
     return (model, thresholds) if thresholds else None
 
 

@@ -109,3 +109,30 @@ def test_awkward_rows(spark):
     assert [r["n_phone"] for r in got if r["doc_id"] == 30] == [1, 1]
     assert [r["spans"] for r in got if r["doc_id"] is None] == ["email:0:6"]
     assert pii.personal_data(cases.empty(spark)).count() == 0
+
+
+def test_addresses_match_the_wide_pattern():
+    rng = random.Random(8)
+    parts = ["jane.doe", " at ", "at", "@", "(at)", "[AT]", " ", "example", ".", " dot ", "(dot)", "org", "x" * 70, "é", "\n", "-", ". "]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert list(pii.addresses(text)) == [m.span() for m in pii._WIDE[0].finditer(text)], text
+
+
+def grown(rng, n):
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = []
+    for i in range(n):
+        number = f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{digits(4)}"
+        texts += [f"call me on +1 {number} today", f"mail to u{i}@mail{i}.example.com now", f"look at h{i}. Then go", f"order {digits(10)} was sent"]
+        texts += [f"version 4.{rng.randrange(9)} of a1b{digits(9)}c", f"sum {digits(5)} and {digits(9)} on 2024-01-{rng.randrange(10, 29)}"]
+    return texts
+
+
+def test_ungrouped_numbers_and_spelled_at_are_judged(spark):
+    texts = grown(random.Random(6), 400)
+    start = len(texts)
+    texts += ["phone 5551234567 please", "phone 030 12345678 please", "call 555-1234567 now", "write to jane.doe at example.org"]
+    texts += ["order 5551234567 was sent", "on 2024-01-15 it rained", "look at home. Then go"]
+    got = {r["doc_id"]: r for r in pii.personal_data(cases.documents(spark, texts)).collect()}
+    assert [got[start + i]["n_added"] > 0 for i in range(7)] == [True] * 4 + [False] * 3

@@ -11,7 +11,8 @@ number, a letter or digit next to them). These stay out; the trees then judge
 all other candidates, however they are grouped; a threshold per kind, set on
 rows kept out of training, selects the redactions.
 
-Training takes about `FIT_CANDIDATES` candidates, chosen by a hash; every
+Training takes about `FIT_CANDIDATES` candidates, as many of every kind and label (or all
+there are), chosen by a hash; thresholds are set on all that are held out; every
 candidate of every whole text that no hard check settles is judged.
 
 Defined cases: a null text is the empty text, without spans; a null doc_id is
@@ -267,22 +268,24 @@ def proposed(docs: DataFrame) -> DataFrame:
 
 def fit(found: DataFrame, fit_candidates: int = FIT_CANDIDATES):
     """Boosted trees and a threshold per kind, or None when there is too little to learn from."""
-    known = found.filter("c.label >= 0")
-    total = known.count()
-    chosen = known.filter(sampled(min(1.0, fit_candidates / max(1, total)), "row", "c"))
-    chosen = chosen.select(
-        F.col("c.kind").alias("kind"),
-        F.col("c.label").cast("double").alias("label"),
-        F.col("c.x").cast("array<double>").alias("x"),
-        (F.pmod(F.xxhash64("row", F.lit("test")), F.lit(4)) == 0).alias("test"),
-    )
+    known = found.filter("c.label >= 0").withColumn("test", F.pmod(F.xxhash64("row", F.lit("test")), F.lit(4)) == 0)
+    # every kind and label gets its own share of the training rows
+    share = F.lit(1.0)
+    for r in known.filter("NOT test").groupBy("c.kind", "c.label").count().collect():
+        own = (F.col("c.kind") == r["kind"]) & (F.col("c.label") == r["label"])
+        share = F.when(own, F.lit(min(1.0, fit_candidates / (2 * len(KINDS)) / r["count"]))).otherwise(share)
+
+    def columns(df: DataFrame) -> DataFrame:
+        return df.select(F.col("c.kind").alias("kind"), F.col("c.label").cast("double").alias("label"), F.col("c.x").cast("array<double>").alias("x"))
+
+    chosen = columns(known.filter("NOT test").filter(sampled(share, "row", "c")))
     rows = materialise(chosen.coalesce(8), "pii-training").withColumn("features", array_to_vector("x"))
-    train = rows.filter("NOT test").coalesce(4).sortWithinPartitions("x", "label")
+    train = rows.coalesce(4).sortWithinPartitions("x", "label")
     classes = train.agg(F.min("label"), F.max("label")).first()
     if classes[0] != 0.0 or classes[1] != 1.0:
         return None
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, labelCol="label", cacheNodeIds=False).fit(train)
-    judged = model.transform(rows.filter("test")).select("kind", "label", (F.floor(vector_to_array("probability")[1] * 100) / 100).alias("p"))
+    judged = model.transform(columns(known.filter("test")).withColumn("features", array_to_vector("x"))).select("kind", "label", (F.floor(vector_to_array("probability")[1] * 100) / 100).alias("p"))
     bins = judged.groupBy("kind", "p").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()
     thresholds = {}
     for kind in range(len(KINDS)):

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import pii
 from tests.llm import cases
@@ -136,3 +137,12 @@ def test_ungrouped_numbers_and_spelled_at_are_judged(spark):
     texts += ["order 5551234567 was sent", "on 2024-01-15 it rained", "look at home. Then go"]
     got = {r["doc_id"]: r for r in pii.personal_data(cases.documents(spark, texts)).collect()}
     assert [got[start + i]["n_added"] > 0 for i in range(7)] == [True] * 4 + [False] * 3
+
+
+def test_a_rare_kind_keeps_its_threshold_beside_a_hot_one(spark):
+    rng = random.Random(7)
+    texts = grown(rng, 400)
+    hot = [" ".join("+1 555 " + str(rng.randrange(10**6, 10**7)) + " x," for _ in range(100)) for _ in range(40)]
+    rows = pii.proposed(cases.documents(spark, [*texts, *hot])).withColumn("row", F.monotonically_increasing_id())
+    learned = pii.fit(rows.select("row", F.explode("found").alias("c")), fit_candidates=1600)
+    assert learned and {0, 3} <= set(learned[1])

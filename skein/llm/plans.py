@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import decontaminate, exact, langid, packing, pii, quality, quotes, simhash, tokencount, warc
+from skein.llm import decontaminate, exact, langid, merkle, packing, pii, quality, quotes, simhash, sql, tokencount, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -20,11 +20,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, oracle: str | None = None):
     def add(fn):
         QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
+        if oracle is not None:
+            ORACLE[name] = oracle
         return fn
 
     return add
@@ -99,3 +99,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_quotes")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return quotes.conversations(quotes.as_mail(table(spark, folder, "conversations")))
+
+
+@query("op11_merkle_manifest", sql.MERKLE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.audited(table(spark, folder, "documents"))

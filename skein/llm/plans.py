@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import decontaminate, exact, langid, merkle, packing, pii, quality, quotes, simhash, sql, tokencount, warc
+from skein.llm import decontaminate, exact, langid, merkle, packing, pii, quality, quotes, simhash, sql, tokencount, trie, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -104,3 +104,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_merkle_manifest", sql.MERKLE)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.audited(table(spark, folder, "documents"))
+
+
+@query("op12_prefix_trie", sql.TRIE)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefixes(table(spark, folder, "conversations"))

@@ -17,13 +17,14 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str)
     """`df` with `rank` (0-based place of the row in its key along `order`, null first) and `size` (rows of the key).
 
     Rows are range-partitioned by key and order, so a hot key lies in many
-    partitions; its offsets need one row per partition. The sorted rows are
-    written once under `name`. Null keys are a key of their own. Rows equal in
+    partitions; its offsets need one row per partition. The rows are written
+    under `name` before they are sampled for the ranges, so that what made them
+    runs once, and again when sorted. Null keys are a key of their own. Rows equal in
     `order` get their places in any order, so `order` should decide between
     rows that differ elsewhere.
     """
     keys, along = list(keys), [F.col(c).asc_nulls_first() for c in (*keys, *order)]
-    rows = df.repartitionByRange(*along).sortWithinPartitions(*along)
+    rows = materialise(df, f"{name}-rows").repartitionByRange(*along).sortWithinPartitions(*along)
     rows = rows.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
     rows = materialise(rows, name)
     spans = rows.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))

@@ -56,3 +56,39 @@ up AS (
 SELECT doc_id, leaf, subroot, root.node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root.node AS verified
 FROM up, (SELECT node, lvl FROM a WHERE n = 1) AS root WHERE up.lvl = root.lvl
 """
+
+_TURN = "sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))"
+
+TRIE = f"""
+WITH t AS (
+  SELECT conv_id, {_TURN} AS turn_key, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_TURN}) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, ({crc32("CAST(conv_id AS VARCHAR)")}) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, 0 AS part, pos, turn_key, words FROM c JOIN t ON t.conv_id = c.base AND pos < h
+  UNION ALL
+  SELECT c.conv_id, 1, pos, turn_key, words FROM c JOIN t ON t.conv_id = c.conv_id AND pos >= h),
+s AS (
+  SELECT c.conv_id, coalesce(list(turn_key ORDER BY part, pos) FILTER (pos IS NOT NULL), []) AS keys, list(words ORDER BY part, pos) AS words
+  FROM c LEFT JOIN r ON c.conv_id = r.conv_id GROUP BY c.conv_id),
+p AS (SELECT conv_id, unnest(range(0, len(keys) + 1)) AS depth, keys, words FROM s),
+n AS (
+  SELECT keys[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         max(CASE WHEN depth > 0 THEN words[depth] ELSE 0 END) AS words,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(keys) = depth), '') AS ends
+  FROM p GROUP BY keys[1:depth], depth),
+up AS (
+  SELECT n.*, parent.conv_id AS parent_conv_id, parent.path AS parent_path
+  FROM n LEFT JOIN n AS parent ON n.depth = parent.depth + 1 AND n.path[1:parent.depth] = parent.path),
+kids AS (SELECT parent_path, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY parent_path),
+full_n AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN kids ON up.path = kids.parent_path),
+below AS (
+  SELECT v.path, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((u.n_convs - 1) * u.words) AS saved_tokens
+  FROM full_n v JOIN full_n u ON u.depth >= v.depth AND u.path[1:v.depth] = v.path GROUP BY v.path)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM full_n JOIN below USING (path)
+"""

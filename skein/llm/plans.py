@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import decontaminate, exact, langid, merkle, packing, pii, quality, quotes, simhash, sql, tokencount, trie, warc
+from skein.llm import decontaminate, exact, langid, merkle, packing, pii, polytope, quality, quotes, simhash, sql, tokencount, trie, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -109,3 +109,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_prefix_trie", sql.TRIE)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return trie.prefixes(table(spark, folder, "conversations"))
+
+
+@query("op13_near_vectors", sql.NEAR_VECTORS)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return polytope.near_vectors(table(spark, folder, "embeddings"))

@@ -92,3 +92,18 @@ SELECT conv_id, depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIG
        CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
 FROM full_n JOIN below USING (path)
 """
+
+NEAR_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e,
+         coalesce(label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS usable
+  FROM embeddings),
+links AS (
+  SELECT a.rid AS a, b.rid AS b FROM (SELECT * FROM v WHERE usable) a JOIN (SELECT * FROM v WHERE usable) b
+    ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT rid, rid AS other FROM v UNION SELECT reach.rid, links.b FROM reach JOIN links ON reach.other = links.a),
+groups AS (SELECT reach.rid, min(v.vec_id) AS component_id FROM reach JOIN v ON v.rid = reach.other GROUP BY reach.rid)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.rid) AS n_links, component_id, v.vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN groups USING (rid)
+"""

@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded, text_or_empty
+from skein.llm.common import bounded, fresh, text_or_empty
 from skein.session import materialise, shared_folder
 
 #: links a bucket holds before it splits
@@ -168,9 +168,9 @@ def exact_groups(
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """Rows of `docs` that stay, with all their columns: one row of each group of equal texts."""
-    digest = "__text_sha256__"
+    digest, known, sha = fresh(docs, "_text_sha256", "_id", "_sha")
     groups = materialise(exact_groups(docs, **options).select("doc_id", "kept", "text_sha256"), "dedup-decisions")
-    ids = groups.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(
+    ids = groups.groupBy(F.col("doc_id").alias(known), F.col("text_sha256").alias(sha)).agg(
         F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")
     )
     moved = materialise(ids.filter(~F.col("kept") | (F.col("n") > 1)), "dedup-moved")
@@ -178,11 +178,11 @@ def drop_copies(docs: DataFrame, **options) -> DataFrame:
     marked = docs.withColumn(digest, F.sha2(text_or_empty().cast("binary"), 256))
 
     def on(side: DataFrame):
-        return F.col("doc_id").eqNullSafe(side["_id"]) & (F.col(digest) == side["_sha"])
+        return F.col("doc_id").eqNullSafe(side[known]) & (F.col(digest) == side[sha])
 
-    side = bounded(moved.select("_id", "_sha"), n_moved, 160)
+    side = bounded(moved.select(known, sha), n_moved, 160)
     stay = marked.join(side, on(side), "left_anti")
     if n_again:  # rows that repeat both id and text
-        again = moved.filter("kept").select("_id", "_sha")
+        again = moved.filter("kept").select(known, sha)
         stay = stay.unionByName(marked.join(again, on(again), "left_semi").dropDuplicates(["doc_id", digest]))
     return stay.drop(digest)

@@ -143,10 +143,3 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, sma
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """Rows of `docs` that stay: of each component the row with the smallest doc_id, and rows without an id."""
-    groups = near_groups(docs, **options)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    gone = materialise(gone, "simhash-gone")
-    return docs.join(bounded(gone, gone.count(), 72), "doc_id", "left_anti").select(docs.columns)

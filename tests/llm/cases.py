@@ -2,7 +2,7 @@
 
 from pyspark.sql import types as T
 
-CLASHING = ("key", "fp", "row", "sha", "n", "kept", "held_out", "score", "component", "node", "x", "tokens", "sequence_id")
+CLASHING = ("key", "fp", "row", "sha", "n", "kept", "held_out", "score", "component", "node", "x", "tokens", "sequence_id", "_hash", "_other", "_text_sha256", "__text_sha256__", "_id")
 
 
 def documents(spark, texts, ids=None, langs=None, clash=True):

@@ -46,6 +46,27 @@ def has_commits(spark: SparkSession, folder: str) -> bool:
     return True
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def committed_between(spark: SparkSession, folder: str, name: str, after: int, before: int) -> DataFrame | None:
+    """Rows of the committed batches in (after, before), or None; only their folders are looked at."""
+    done = [b for b in range(after + 1, before) if path_exists(spark, f"{folder}/_commits/batch={b}/_SUCCESS")]
+    paths = [f"{folder}/{name}/batch={b}" for b in done]
+    return spark.read.option("basePath", f"{folder}/{name}").parquet(*paths) if paths else None
+
+
+def last_commit(spark: SparkSession, folder: str) -> int:
+    return spark.read.parquet(f"{folder}/_commits").agg(F.max("batch")).first()[0] if has_commits(spark, folder) else -1
+
+
 def _overwrite(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 

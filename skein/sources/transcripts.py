@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import content as C
 from skein.functions.text import has_text, strip
-from skein.operators.ordered import chunk_of, ordinal
+from skein.operators.ordered import CHUNK, chunk_of, ordinal
 
 # Source tags and the constant project of the second vendor.
 CLAUDE = "claude-code"
@@ -302,15 +302,18 @@ def _filled(path: str) -> Column:
     return F.when(F.col(path) != "", F.col(path))
 
 
-def parse_messages(lines: DataFrame, sources: Sequence[str] = (CLAUDE, CODEX)) -> DataFrame:
-    """Retained messages of both vendors, numbered from 0 within their session."""
+def parse_messages(lines: DataFrame, sources: Sequence[str] = (CLAUDE, CODEX), chunk: int = CHUNK) -> DataFrame:
+    """Retained messages of both vendors, numbered from 0 within their session.
+
+    `chunk` is the span of `line_no` that one task numbers; larger where `line_no` counts bytes.
+    """
     parts = []
     if CLAUDE in sources:
         parts.append(_claude_messages(lines.filter(F.col("source") == CLAUDE)))
     if CODEX in sources:
         parts.append(_codex_messages(lines.filter(F.col("source") == CODEX)))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    numbered = ordinal(rows, ["source", "session_id"], ["line_no"], chunk_of("line_no"), "msg_index")
+    numbered = ordinal(rows, ["source", "session_id"], ["line_no"], chunk_of("line_no", chunk), "msg_index")
     return numbered.select("*").select(*MESSAGE_COLUMNS, "line_no")
 
 

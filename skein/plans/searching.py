@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.functions.stem import stem_word
 from skein.operators import search as Q
+from skein.operators import segments
 from skein.operators import sessions as S
 from skein.plans.adapters import Tables, stamp
 from skein.plans.ingest import SESSIONS_SQL
 from skein.plans.registry import query
+from skein.session import shared_folder
 
 TERMS = ["the", "with", "edit", "ts", "und"]
 
@@ -168,6 +172,29 @@ def search_batch(t: Tables) -> DataFrame:
     return Q.search_batch(index(t), words.filter(F.length("term") > 5), k=3)
 
 
+_LEFT = """corpus AS (
+  SELECT * REPLACE (CASE WHEN right(session_id, 1) = '3' THEN 'edit ' || user_text ELSE user_text END AS user_text)
+  FROM whole WHERE right(session_id, 1) <> '7')"""
+
+
+@query(
+    "index_segments",
+    f"""WITH {SCORES.replace("corpus AS (", "whole AS (", 1).replace("toks AS", _LEFT + "," + chr(10) + "toks AS", 1)} SELECT * FROM scores""",
+)
+def index_segments(t: Tables) -> DataFrame:
+    """Two appends, sessions deleted, sessions replaced, segments merged: scores of what is left."""
+    spark, rows = t.a_msg.sparkSession, corpus(t)
+    folder, last = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", F.right("session_id", F.lit(1))
+    segments.append(rows.filter(F.startswith("session_id", F.lit("u"))), folder, stem=False)
+    segments.append(rows.filter(~F.startswith("session_id", F.lit("u"))), folder, stem=False)
+    segments.delete(rows.filter(last == "7").select("session_id").distinct(), folder)
+    again = rows.filter(last == "3")
+    edited = again.withColumn("user_text", F.concat(F.lit("edit "), "user_text"))
+    segments.replace(edited, again.select("session_id").distinct(), folder, stem=False)
+    segments.merge(spark, folder, fan=2)
+    return Q.bm25(segments.read(spark, folder), TERMS).withColumn("score", F.round("score", 6))
+
+
 @query(
     "search_boolean",
     f"""WITH {CORPUS}, {OCC}

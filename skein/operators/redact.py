@@ -15,8 +15,8 @@ class Rule(NamedTuple):
 
 
 # Categories, patterns and replacements, applied in this order.
-# A secret behind a keyword looks back for the keyword only; the separator before
-# the secret is matched, whatever its length, and put back.
+# A secret behind a keyword looks back for the keyword only, from a separator;
+# the separator before the secret is matched, whatever its length, and put back.
 RULES = (
     Rule("Anthropic API key", r"sk-ant-[a-zA-Z0-9_-]{20,}", "[REDACTED_ANTHROPIC_KEY]"),
     Rule("OpenAI API key", r"sk-proj-[a-zA-Z0-9_-]{20,}", "[REDACTED_OPENAI_KEY]"),
@@ -24,13 +24,13 @@ RULES = (
     Rule("AWS access key", r"AKIA[0-9A-Z]{16}", "[REDACTED_AWS_KEY]"),
     Rule(
         "AWS secret key",
-        r"(?<=AWS_SECRET_ACCESS_KEY)([=:]\s*)[A-Za-z0-9/+=]{40}",
+        r"(?=[=:])(?<=AWS_SECRET_ACCESS_KEY)([=:]\s*)[A-Za-z0-9/+=]{40}",
         "$1[REDACTED_AWS_SECRET]",
     ),
     Rule("GitHub token", r"gh[ps]_[A-Za-z0-9_]{36,}", "[REDACTED_GITHUB_TOKEN]"),
     Rule(
         "Generic secret",
-        r"(?<=(?i:secret|token|password|api_key|apikey|auth))([=:]\s*[\"']?)[A-Za-z0-9_\-]{20,}",
+        r"(?=[=:])(?<=(?i:secret|token|password|api_key|apikey|auth))([=:]\s*[\"']?)[A-Za-z0-9_\-]{20,}",
         "$1[REDACTED_SECRET]",
     ),
     Rule("Database URL", r"(?:postgres|mysql|mongodb|redis)://[^\s\"']+", "[REDACTED_DB_URL]"),
@@ -83,7 +83,8 @@ def _step(rule: Rule):
             (s["n"] + found).alias("n"),
             F.concat(s["types"], F.array(F.lit(rule.name))).alias("types"),
         )
-        return F.when(found > 0, changed).otherwise(s)
+        # most texts match nothing: one search that stops at the first match
+        return F.when(F.rlike(s["t"], pattern), changed).otherwise(s)
 
     return step
 

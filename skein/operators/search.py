@@ -182,6 +182,29 @@ def bm25_scan(
     return bm25(build_index(messages, tuple(weights), stem, only=terms), terms, weights)
 
 
+def with_prefixes(index: Index, terms: Sequence[str], prefixes: Sequence[str]) -> Index:
+    """The index of `terms` and of the prefixes, each as one term `prefix*` that stands for all terms it starts.
+
+    Postings are sorted by term, so a prefix reads one range of them.
+    """
+    postings = _of_terms(index, terms)
+    for prefix in dict.fromkeys(prefixes):
+        some = index.postings.filter(F.startswith("term", F.lit(prefix)))
+        counts = [F.sum(f"tf_{f}").alias(f"tf_{f}") for f in _fields(index)]
+        together = some.groupBy(F.lit(f"{prefix}*").alias("term"), *DOC, "dl").agg(
+            *counts, F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")
+        )
+        postings = postings.unionByName(together.select(postings.columns))
+    return Index(postings, index.corpus)
+
+
+def bm25_prefixes(
+    index: Index, terms: Sequence[str], prefixes: Sequence[str], weights: Mapping[str, float] = WEIGHTS
+) -> DataFrame:
+    """Scores over terms and prefixes; a prefix weighs by the messages that hold any of its terms."""
+    return bm25(with_prefixes(index, terms, prefixes), [*terms, *(f"{p}*" for p in prefixes)], weights)
+
+
 def search_sessions(
     index: Index,
     sessions: DataFrame,
@@ -319,6 +342,48 @@ def snippet(text: str | Column, terms: Sequence[str], width: int = SNIPPET_TOKEN
     return F.when(first > 0, F.concat(lead, body, tail))
 
 
+def best_snippet(
+    text: str | Column, terms: Sequence[str], weights: Mapping[str, float] | None = None, width: int = SNIPPET_TOKENS
+) -> Column:
+    """The window of `width` words with most distinct terms, then the largest sum of their weights, then the first.
+
+    Windows start a quarter width before each hit, and each looks at its own
+    words only, so the cost grows with hits, not with pairs of them. Hits are in
+    brackets; null without a hit.
+    """
+    col = F.col(text) if isinstance(text, str) else text
+    words = F.filter(F.split(col, r"\s+"), lambda w: w != "")
+    wanted = F.array(*[F.lit(t) for t in terms])
+    weight = F.create_map(*[F.lit(x) for t in terms for x in (t, float((weights or {}).get(t, 1.0)))])
+    flagged = F.transform(words, lambda w: F.struct(w.alias("w"), F.array_intersect(X.tokens(w), wanted).alias("terms")))
+    # a one-element transform evaluates the tokens once
+    state = F.array(F.struct(flagged.alias("f")))
+
+    def window(f: Column, start: Column) -> Column:
+        return F.slice(f, start, F.lit(width))
+
+    def score(f: Column, start: Column) -> Column:
+        met = F.array_distinct(F.flatten(F.transform(window(f, start), lambda s: s["terms"])))
+        total = F.aggregate(met, F.lit(0.0), lambda a, t: a + weight[t])
+        return F.struct(F.size(met).alias("n"), F.round(total, 6).alias("weight"), (-start).alias("start"))
+
+    def best(s: Column) -> Column:
+        places = F.filter(F.transform(s["f"], lambda x, i: F.when(F.size(x["terms"]) > 0, i + 1)), lambda i: i.isNotNull())
+        top = F.array_max(F.transform(places, lambda i: score(s["f"], F.greatest(i - width // 4, F.lit(1)))))
+        return F.struct(s["f"].alias("f"), (-top["start"]).alias("start"))
+
+    def shown(s: Column) -> Column:
+        body = F.array_join(
+            F.transform(window(s["f"], s["start"]), lambda x: F.when(F.size(x["terms"]) > 0, F.concat(F.lit("["), x["w"], F.lit("]"))).otherwise(x["w"])),
+            " ",
+        )
+        lead = F.when(s["start"] > 1, F.lit("…")).otherwise("")
+        tail = F.when(s["start"] + width - 1 < F.size(s["f"]), F.lit("…")).otherwise("")
+        return F.when(s["start"].isNotNull(), F.concat(lead, body, tail))
+
+    return F.transform(F.transform(state, best), shown)[0]
+
+
 def read_windows(
     messages: DataFrame,
     requests: DataFrame,

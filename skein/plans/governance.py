@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators import learnings as E
+from skein.operators import identity
 from skein.operators import proposals as P
 from skein.operators import redact as Z
 from skein.operators import reports as T
@@ -213,6 +214,55 @@ def proposal_support(t: Tables) -> DataFrame:
     return P.support(t.a_cite)
 
 
+_LCP = "len(list_filter(range(1, least(length({0}), length({1})) + 1), lambda i: left({0}, i) = left({1}, i)))"
+
+TAGS_SQL = f"""ids AS (SELECT DISTINCT session_id FROM a_msg UNION SELECT DISTINCT session_id || '-' || msg_index FROM a_msg),
+near AS (SELECT session_id, lag(session_id) OVER o AS prev, lead(session_id) OVER o AS next FROM ids WINDOW o AS (ORDER BY session_id)),
+tags AS (SELECT session_id, left(session_id, greatest(8, 1 + greatest(coalesce({_LCP.format('session_id', 'prev')}, 0),
+    coalesce({_LCP.format('session_id', 'next')}, 0)))) AS tag FROM near)"""
+
+
+def tag_ids(t: Tables) -> DataFrame:
+    """Session ids and, so that many share a long start, ids of their messages."""
+    own = t.a_msg.select("session_id")
+    return own.unionByName(t.a_msg.select(F.concat_ws("-", "session_id", "msg_index").alias("session_id"))).distinct()
+
+
+@query("session_tags", f"WITH {TAGS_SQL} SELECT session_id, tag FROM tags")
+def session_tags(t: Tables) -> DataFrame:
+    return identity.session_tags(tag_ids(t))
+
+
+@query(
+    "resolve_tags",
+    f"""WITH {TAGS_SQL}, asked AS (SELECT tag FROM tags UNION SELECT left(tag, length(tag) - 1) FROM tags UNION SELECT tag || '?' FROM tags),
+    found AS (SELECT a.tag, count(i.session_id) AS n, min(i.session_id) AS first,
+        coalesce(bool_or(i.session_id = a.tag), false) AS whole
+      FROM (SELECT * FROM asked WHERE tag <> '') a LEFT JOIN ids i ON starts_with(i.session_id, a.tag) GROUP BY a.tag)
+    SELECT tag, CASE WHEN n = 1 OR whole THEN first END AS session_id,
+      CASE WHEN n = 0 THEN 'unknown' WHEN n = 1 OR whole THEN 'unique' ELSE 'ambiguous' END AS status FROM found""",
+)
+def resolve_tags(t: Tables) -> DataFrame:
+    ids = tag_ids(t)
+    tags = identity.session_tags(ids).select("tag")
+    shorter, longer = tags.selectExpr("left(tag, length(tag) - 1) AS tag"), tags.selectExpr("tag || '?' AS tag")
+    asked = tags.union(shorter).union(longer).filter("tag <> ''").distinct()
+    return identity.resolve(asked, ids)
+
+
+@query(
+    "proposal_support_distinct",
+    """WITH c AS (SELECT DISTINCT proposal_id, split_part(citation, ':', 1) AS tag FROM a_cite),
+    f AS (SELECT proposal_id, tag, count(s.session_id) AS n, min(s.session_id) AS first, coalesce(bool_or(s.session_id = tag), false) AS whole
+      FROM c LEFT JOIN (SELECT DISTINCT session_id FROM a_msg) s ON starts_with(s.session_id, tag) WHERE tag <> '' GROUP BY ALL)
+    SELECT proposal_id, count(DISTINCT CASE WHEN n = 1 OR whole THEN first END) AS sessions,
+      count(DISTINCT CASE WHEN n > 1 AND NOT whole THEN tag END) AS ambiguous, count(DISTINCT CASE WHEN n = 0 THEN tag END) AS unknown
+    FROM f GROUP BY proposal_id""",
+)
+def proposal_support_distinct(t: Tables) -> DataFrame:
+    return identity.support(t.a_cite, t.a_msg)
+
+
 @query(
     "validate_proposals",
     f"""WITH {VALID_SQL} SELECT proposal_id, kind, sessions, coalesce(reason, '') AS reason,

@@ -249,6 +249,45 @@ def snippets(t: Tables) -> DataFrame:
     return out.filter("snippet is not null")
 
 
+BEST = {"the": 0.4, "with": 1.7, "and": 0.9, "of": 1.1}
+
+BEST_SQL = rf"""
+w AS (SELECT session_id, msg_index, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS words FROM a_msg),
+f AS (SELECT *, list_transform(words, lambda x: list_distinct(list_intersect(
+    {TOK.format('x').replace('lambda x: x <>', 'lambda y: y <>')}, ['the', 'with', 'and', 'of']))) AS hits FROM w),
+h AS (SELECT session_id, msg_index, words, hits, unnest(list_filter(range(1, len(words) + 1), lambda i: len(hits[i]) > 0)) AS hit FROM f),
+s AS (SELECT *, greatest(hit - 5, 1) AS start FROM h),
+m AS (SELECT *, list_distinct(flatten(hits[start:start + 19])) AS met FROM s),
+best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY session_id, msg_index ORDER BY len(met) DESC,
+    round(list_sum(list_transform(met, lambda t: CASE t WHEN 'the' THEN 0.4::DOUBLE WHEN 'with' THEN 1.7 WHEN 'and' THEN 0.9 ELSE 1.1 END)), 6) DESC,
+    start) = 1)
+SELECT session_id, msg_index, CASE WHEN start > 1 THEN '…' ELSE '' END || array_to_string(
+    list_transform(range(start, least(start + 20, len(words) + 1)),
+      lambda i: CASE WHEN len(hits[i]) > 0 THEN '[' || words[i] || ']' ELSE words[i] END), ' ')
+    || CASE WHEN start + 19 < len(words) THEN '…' ELSE '' END AS snippet FROM best"""
+
+
+@query("best_snippets", f"WITH {BEST_SQL}")
+def best_snippets(t: Tables) -> DataFrame:
+    out = t.a_msg.select("session_id", "msg_index", Q.best_snippet("text", list(BEST), BEST).alias("snippet"))
+    return out.filter("snippet is not null")
+
+
+@query(
+    "search_prefix",
+    f"""WITH {CORPUS}, {OCC},
+    hits AS (SELECT session_id, msg_index, dl, CASE WHEN term LIKE 'th%' THEN 'th*' WHEN term LIKE 'ed%' THEN 'ed*' ELSE term END AS term,
+        sum(CASE field WHEN 'user_text' THEN 8.0::DOUBLE WHEN 'assistant_text' THEN 3.0 WHEN 'tool_calls' THEN 1.5 ELSE 7.0 END) AS wtf
+      FROM occ WHERE term LIKE 'th%' OR term LIKE 'ed%' OR term = 'with' GROUP BY ALL),
+    dfs AS (SELECT term, count(*) AS df FROM hits GROUP BY term)
+    SELECT session_id, msg_index, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * wtf * 2.2
+          / (wtf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+    FROM hits JOIN dfs USING (term), stats GROUP BY session_id, msg_index""",
+)
+def search_prefix(t: Tables) -> DataFrame:
+    return Q.bm25_prefixes(index(t), ["with"], ["th", "ed"]).withColumn("score", F.round("score", 6))
+
+
 @query(
     "search_hits",
     f"""WITH {SCORES}, best AS (SELECT session_id, max(score) AS score FROM scores GROUP BY session_id),

@@ -2,8 +2,8 @@
 
 One filter per language, sliced by bit position: slot p of the table holds a
 bitmask of the languages whose filter has bit p set. And-ing the slots of an
-n-gram gives all languages that contain it in a few reads, whatever their
-number. The hits of each language over a text are counted, corrected for the
+n-gram gives all languages that contain it in a few reads; every 64 languages
+have a table of their own. The hits of each language over a text are counted, corrected for the
 filter's share of false positives, and the largest decides.
 
 The filters are built from a bounded share of the rows that may be learned
@@ -92,27 +92,30 @@ class Filters:
     """The sliced table, its languages, and each filter's share of false positives."""
 
     def __init__(self, languages: list[str], lang: np.ndarray, grams: np.ndarray):
-        if len(languages) > 64:
-            raise ValueError("more than 64 languages need wider masks")
         self.languages = languages
-        kind = next(k for bits, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(languages) <= bits)
-        self.table = np.zeros(1 << LOG_SLOTS, dtype=kind)
-        for n in range(len(languages)):
-            for at in slots_of(grams[lang == n]):
-                self.table[at] |= kind(1 << n)
-        fill = [np.count_nonzero(self.table & kind(1 << n)) / len(self.table) for n in range(len(languages))]
+        self.tables, fill = [], []
+        for begin in range(0, len(languages), 64):
+            many = min(64, len(languages) - begin)
+            kind = next(k for bits, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if many <= bits)
+            table = np.zeros(1 << LOG_SLOTS, dtype=kind)
+            for n in range(many):
+                for at in slots_of(grams[lang == begin + n]):
+                    table[at] |= kind(1 << n)
+            fill += [np.count_nonzero(table & kind(1 << n)) / len(table) for n in range(many)]
+            self.tables.append(table)
         self.false = np.array([f**HASHES for f in fill])
 
     def decide(self, text: str | None) -> tuple[str, float]:
         hits, total = np.zeros(len(self.languages)), 0
         for grams in gram_blocks(text or ""):
             first, *rest = slots_of(grams)
-            found = self.table[first]
-            for at in rest:
-                found &= self.table[at]
             total += len(grams)
-            for n in range(len(self.languages)):
-                hits[n] += np.count_nonzero(found & found.dtype.type(1 << n))
+            for m, table in enumerate(self.tables):
+                found = table[first]
+                for at in rest:
+                    found &= table[at]
+                for n in range(min(64, len(self.languages) - 64 * m)):
+                    hits[64 * m + n] += np.count_nonzero(found & found.dtype.type(1 << n))
         if not total or not self.languages:
             return "und", 0.0
         share = np.clip((hits / total - self.false) / (1 - self.false), 0.0, 1.0)
@@ -160,7 +163,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, share: float = SHARE) -> Filt
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, from its text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # the table has 2**LOG_SLOTS slots at most
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2**LOG_SLOTS masks per 64 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

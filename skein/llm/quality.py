@@ -6,17 +6,24 @@ unlabelled text U, class prior p and logistic loss l,
     p E_P[l(g)] + max(0, E_U[l(-g)] - p E_P[l(-g)])
 
 so no text is taken as a negative example. U is ordinary web text, labelled or
-not; P are the rows labelled 1 that may be learned from. The prior is estimated
-from all labels that may be learned from.
+not; P are the rows labelled 1 that may be learned from. Rows labelled 0 are
+like unlabelled ones, here and in the prior.
+
+The prior comes from P and U alone. A model that tells P from U is fitted on
+one half of the ids; on the other half, the share of U among its best-scored
+texts over the share of P there bounds the prior from above, and nearly reaches
+it where texts are surely good. The smallest such bound counts, with an
+allowance for the number of rows behind it.
 
 g is linear in hinges of text statistics. Training takes about `FIT_DOCS` rows
 of P and of U, chosen by a hash of the id (whole texts); the prior and the scores
-cover all rows.
+cover all rows, whose statistics are computed once and stored.
 
 Defined cases: a null text is the empty text and is scored like any other;
-labels without quality or id are ignored; without any positive label every score is the
-prior (0.5 without labels); repeated rows each get a row; an empty table gives an empty
-result; extra columns are ignored.
+labels without quality or id are ignored; without any positive label that has a
+text every score is 0.5; with so few rows that one half holds no positive the prior
+is 0.5; repeated rows each get a row; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import for_learning, held_out, pieces, sampled
@@ -38,6 +45,8 @@ FIT_DOCS = 8000
 THRESHOLD = 0.7
 #: knots of the hinges per statistic
 KNOTS = 4
+#: score bins that the prior is read from, and the chance that its allowance is too small
+BINS, DOUBT = 1000, 0.1
 STEPS, RATE, DECAY = 600, 0.05, 1e-3
 
 _MARKS = "#$%&*!?|.,;:\"'()-_=/<>@+"
@@ -133,8 +142,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
 
 
-def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Full-batch Adam on the non-negative unbiased risk."""
+def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> Model:
+    """Full-batch Adam on the non-negative unbiased risk; without a prior, on telling P from U."""
     both = np.concatenate([positive, unlabelled])
     middle = np.median(both, axis=0)
     scale = np.maximum(both.std(axis=0), 1e-6)
@@ -143,17 +152,20 @@ def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     p = Model.expand(positive, middle, scale, knots)
     u = Model.expand(unlabelled, middle, scale, knots)
     w = np.zeros(p.shape[1] + 1)
-    w[-1] = np.log(prior / (1 - prior))
+    w[-1] = np.log(prior / (1 - prior)) if prior else 0
     first, second = np.zeros_like(w), np.zeros_like(w)
     p, u = np.column_stack([p, np.ones(len(p))]), np.column_stack([u, np.ones(len(u))])
     logistic = lambda g: 1 / (1 + np.exp(-np.clip(g, -30, 30)))
     for step in range(1, STEPS + 1):
         sp, su = logistic(p @ w), logistic(u @ w)
-        negative_risk = np.mean(-np.log(1 - su + 1e-12)) - prior * np.mean(-np.log(1 - sp + 1e-12))
-        good = p.T @ ((sp - 1) * prior / len(p))
-        bad = u.T @ (su / len(u)) - p.T @ (sp * prior / len(p))
-        # where the estimated risk of the negatives is below zero, step back from it instead
-        gradient = good + bad if negative_risk >= 0 else -bad
+        if prior is None:
+            gradient = p.T @ ((sp - 1) / len(p)) + u.T @ (su / len(u))
+        else:
+            negative_risk = np.mean(-np.log(1 - su + 1e-12)) - prior * np.mean(-np.log(1 - sp + 1e-12))
+            good = p.T @ ((sp - 1) * prior / len(p))
+            bad = u.T @ (su / len(u)) - p.T @ (sp * prior / len(p))
+            # where the estimated risk of the negatives is below zero, step back from it instead
+            gradient = good + bad if negative_risk >= 0 else -bad
         gradient[:-1] += DECAY * w[:-1]
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
@@ -162,51 +174,102 @@ def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     return Model(middle, scale, knots, w[:-1], w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
-    """Model from the rows that may be learned from."""
-    known = labels.filter(for_learning() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-    n_positive, n_labels = counts.get(1, 0), sum(counts.values())
-    prior = min(0.99, max(0.01, n_positive / n_labels)) if n_labels else 0.5
-    flat = Model(np.zeros(WIDTH), np.ones(WIDTH), [np.zeros(WIDTH)] * KNOTS, np.zeros(WIDTH * (KNOTS + 1)), np.log(prior / (1 - prior)))
-    if not n_positive:
-        return flat
-    open_to = docs.select("doc_id", "text").filter(for_learning())
-    total = open_to.count()
-    chosen = known.filter((F.col("quality") == 1) & sampled(min(1.0, fit_docs / n_positive), "doc_id")).select("doc_id")
-    # about fit_docs ids: small enough to broadcast by its parameter
-    positive = open_to.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.lit(1).alias("part"), "text")
-    # another hash than for the positives, else U would hold more of them than the text does
-    other = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1_000_000)) < min(1.0, fit_docs / max(1, total)) * 1_000_000
-    unlabelled = open_to.filter(other).select(F.lit(0).alias("part"), "text")
-    rows = materialise(measured(positive.unionByName(unlabelled), "part"), "quality-sample").toArrow()
-    if not rows.num_rows:
-        return flat
-    part = rows["part"].to_numpy()
-    x = np.array(rows["x"].to_pylist(), dtype=np.float64).reshape(len(part), WIDTH)
-    order = np.lexsort(x.T[::-1])  # row order must not move the last bits of the sums
-    x, part = x[order], part[order]
-    return learn(x[part == 1], x[part == 0], prior) if (part == 1).any() and (part == 0).any() else flat
+def prior_bound(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Class prior from counts of P and of U by score bin, the best bin last."""
+    p, u = np.cumsum(positive[::-1]), np.cumsum(unlabelled[::-1])
+    if not p[-1] or not u[-1]:
+        return 0.5
+    p_share, u_share = p / p[-1], u / u[-1]
+    doubt = (np.log(4 / DOUBT) / (2 * u[-1])) ** 0.5 + (np.log(4 / DOUBT) / (2 * p[-1])) ** 0.5
+    seen = p > 0
+    at = np.argmin((u_share[seen] + doubt) / p_share[seen])
+    return float(np.clip(u_share[seen][at] / p_share[seen][at], 0.01, 0.99))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row, from its text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _half() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
+
+
+def _binned(x: DataFrame, model: Model) -> DataFrame:
+    """part and score bin of rows (part, x)."""
+    shared = x.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            x = np.array([statistics(t or "") for t in batch.column(2).to_pylist()])
-            s = shared.value.score(x)
+        for batch in pieces(batches, 4096):
+            s = shared.value.score(np.array(batch.column(1).to_pylist()))
+            at = np.minimum((s * BINS).astype(np.int32), BINS - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at)], ["part", "bin"])
+
+    return x.select("part", "x").mapInArrow(run, "part int, bin int")
+
+
+def _arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Statistics, part and half of sampled rows, in an order that does not depend on the tasks'."""
+    x = np.array(rows["x"].to_pylist(), dtype=np.float64).reshape(rows.num_rows, WIDTH)
+    order = np.lexsort(x.T[::-1])
+    return x[order], rows["part"].to_numpy()[order], rows["half"].to_numpy()[order]
+
+
+def fit_measured(x: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[Model, float]:
+    """Model and class prior from the rows (doc_id, x) that may be learned from."""
+    flat = Model(np.zeros(WIDTH), np.ones(WIDTH), [np.zeros(WIDTH)] * KNOTS, np.zeros(WIDTH * (KNOTS + 1)), 0.0)
+    good = labels.filter(for_learning() & (F.col("quality") == 1)).select("doc_id").distinct()
+    unlabelled = x.filter(for_learning()).select("doc_id", "x", F.lit(0).alias("part"))
+    # the positives with a text, as their statistics: one semi join, whatever their number
+    positive = materialise(unlabelled.join(good, "doc_id", "left_semi").withColumn("part", F.lit(1)), "quality-positive")
+    n_positive, total = positive.count(), unlabelled.count()
+    if not n_positive:
+        return flat, 0.5
+    chosen = positive.filter(sampled(min(1.0, fit_docs / n_positive), "doc_id"))
+    # another hash than for the positives, else U would hold more of them than the text does
+    other = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1_000_000)) < min(1.0, fit_docs / total) * 1_000_000
+    rows = chosen.unionByName(unlabelled.filter(other)).select("part", _half().alias("half"), "x")
+    values, part, half = _arrays(rows.toArrow())
+
+    def of(kind: int, *halves: int) -> np.ndarray:
+        return values[(part == kind) & np.isin(half, halves)]
+
+    prior = 0.5
+    if len(of(1, 0)) and len(of(0, 0)):
+        apart = learn(of(1, 0), of(0, 0), None)
+        second = positive.unionByName(unlabelled).filter(_half() == 1)
+        counts = np.zeros((2, BINS), dtype=np.int64)
+        for r in _binned(second, apart).groupBy("part", "bin").count().collect():  # 2 * BINS rows at most
+            counts[r["part"], r["bin"]] = r["count"]
+        prior = prior_bound(counts[1], counts[0])
+    if not len(of(1, 0, 1)) or not len(of(0, 0, 1)):
+        return flat, prior
+    return learn(of(1, 0, 1), of(0, 0, 1), prior), prior
+
+
+def score_measured(x: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row (doc_id, x)."""
+    shared = x.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 4096):
+            s = shared.value.score(np.array(batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(
+    kind = x.schema["doc_id"].dataType.simpleString()
+    return x.select("doc_id", held_out().alias("held_out"), "x").mapInArrow(
         run, f"doc_id {kind}, held_out boolean, score double, predicted int"
     )
 
 
+def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
+    """Model from the rows that may be learned from."""
+    return fit_measured(materialise(measured(docs.filter(for_learning()), "doc_id"), "quality-measured"), labels, fit_docs)[0]
+
+
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row, from its text alone."""
+    return score_measured(measured(docs, "doc_id"), model, threshold)
+
+
 def classify(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
-    return score(docs, fit(docs, labels, fit_docs))
+    x = materialise(measured(docs, "doc_id"), "quality-measured")
+    return score_measured(x, fit_measured(x, labels, fit_docs)[0])

@@ -75,3 +75,40 @@ def test_awkward_rows(spark):
     assert kept.columns == mixed.columns
     ids = {r["doc_id"] for r in kept.collect()}
     assert {0, 41, 82, 83} <= ids and not ids & {80, 81}
+
+
+def test_more_languages_than_a_mask_has_bits(spark):
+    """One letter triple per language: the filter of language n answers for its texts and no other."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"l{n:03}" for n in range(150)]
+    word = lambda n: alphabet[n // 26] * 3 + alphabet[n % 26] * 3
+    rows = [(200 * k + n, " ".join([word(n)] * 5), names[n]) for n in range(150) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs).collect()
+    want = {i: lang for i, _, lang in rows}
+    assert len(got) == len(rows) and all(r["lang_pred"] == want[r["doc_id"]] for r in got)
+    assert langid.known_language(docs).count() == len(rows)
+
+
+def test_decisions_match_plain_sets(spark):
+    """The same languages from sets of n-grams instead of sliced filters."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(400).collect()
+    by = {}
+    for r in docs:
+        if r["lang"] and r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            by.setdefault(r["lang"], []).append(set(brute_grams(r["text"])))
+    known = {}
+    for lang, texts in by.items():
+        n = Counter(g for t in texts for g in t)
+        known[lang] = {g for g, c in n.items() if c >= max(1.0, langid.SHARE * len(texts))}
+    frame = spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in docs], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(frame).collect()}
+    for r in docs:
+        grams = brute_grams(r["text"] or "")
+        if not grams:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        shares = {lang: sum(g in s for g in grams) / len(grams) for lang, s in known.items()}
+        best = max(shares.values())
+        assert shares[got[r["doc_id"]]["lang_pred"]] >= best - 0.01
+        assert got[r["doc_id"]]["score"] == pytest.approx(best, abs=0.01)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,9 @@ from skein.operators import sessions as S
 from skein.operators.ordered import chunk_of, ordinal
 from skein.plans.adapters import Tables, stamp
 from skein.plans.registry import query
+from skein.session import shared_folder
 from skein.sources import transcripts as R
+from skein.sources.generations import Store
 
 DAY1, DAY4 = datetime(2024, 1, 2), datetime(2024, 1, 5)
 
@@ -163,6 +166,38 @@ def exclude_private(t: Tables) -> DataFrame:
     return S.without_sessions(t.a_msg, private).select("session_id", "msg_index", "text")
 
 
+@query(
+    "generation_store",
+    """SELECT 'messages' AS held_in, session_id, msg_index AS position,
+      CASE WHEN cwd LIKE '%/p3' THEN upper(text) ELSE text END AS body
+    FROM a_msg WHERE project <> 'p5'
+    UNION ALL
+    SELECT DISTINCT 'session_files', session_id, 0, file_path FROM a_tool
+    WHERE session_id NOT IN (SELECT session_id FROM a_msg WHERE project = 'p5')""",
+)
+def generation_store(t: Tables) -> DataFrame:
+    """All messages and files stored; the sessions of one directory replaced, those of one project removed."""
+    said = t.a_msg.select("session_id", F.col("msg_index").cast("long").alias("msg_index"), "text")
+    kept = Store(t.spark, f"{shared_folder(t.spark)}/generations-{uuid.uuid4().hex}")
+    kept.commit({"messages": said, "session_files": S.session_files(t.a_tool)})
+    anew = t.a_msg.filter("cwd LIKE '%/p3'").select("session_id").distinct()
+    fresh = {
+        "messages": said.join(anew, "session_id", "left_semi").withColumn("text", F.upper("text")),
+        "session_files": S.session_files(t.a_tool).join(anew, "session_id", "left_semi"),
+    }
+    kept.replace_sessions(anew, fresh)
+    kept.forget(t.a_msg.filter("project = 'p5'").select("session_id"))
+    kept.compact()
+    kept.expire()
+    messages = kept.read("messages").select(
+        F.lit("messages").alias("held_in"), "session_id", F.col("msg_index").alias("position"), F.col("text").alias("body")
+    )
+    files = kept.read("session_files").select(
+        F.lit("session_files"), "session_id", F.lit(0).cast("long"), "file_path"
+    )
+    return messages.union(files)
+
+
 @query(
     "window_sessions",
     f"""SELECT session_id, project, msg_count, strftime(last_msg_at, '%Y-%m-%d %H:%M:%S') AS last_msg_at

@@ -1,13 +1,16 @@
 """Exact dedup with an extendible-hash index kept on shared files.
 
-Texts hash to 64-bit keys. A directory of `2**depth` prefixes points to
-buckets; whenever a bucket is overfull the directory doubles and the bucket
-splits, so every bucket is a range of keys. One owner task per bucket sorts its
-keys and writes the bucket file. Entries with equal keys form a chain, and a
-group of equal texts is one link of it, told apart by comparing whole texts.
-
-All of it is DataFrame work: the only things the driver sees are the
-histogram of key prefixes (at most `2**MAX_DEPTH` numbers) and row counts.
+Texts hash to 64-bit keys. A directory of `2**depth` key prefixes points to
+buckets, each a range of keys. Entries go to the owner task of their bucket,
+which merges equal ones to links, sorts them by key and writes the bucket file. A
+bucket that comes out overfull splits: the directory doubles where it must, and a
+further pass reads and writes that bucket alone. Links with equal keys form a
+chain; owners of the same buckets compare whole texts byte by byte before
+texts count as equal.
+
+Copies that one task saw become one entry before they are sent, so an owner gets
+a row per task of a text that fills a third of all rows. All of it is DataFrame
+work: the driver sees row counts and the directory (at most `2**MAX_DEPTH` numbers).
 
 Defined cases: a null text is the empty text; a null doc_id takes part and is
 kept only if its whole group has no id; of rows repeated with one doc_id and
@@ -21,7 +24,7 @@ import json
 import math
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import bounded, fresh, text_or_empty
@@ -29,7 +32,7 @@ from skein.session import materialise, shared_folder
 
 #: links a bucket holds before it splits
 CAPACITY = 16_384
-#: bits of the largest directory; fuller buckets than that stay whole and only grow longer
+#: bits of the largest directory; buckets at that depth only grow longer
 MAX_DEPTH = 18
 
 
@@ -38,69 +41,73 @@ def prefix(key: Column, depth: int) -> Column:
     return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def grow_directory(counts: dict[int, int], fine: int, capacity: int) -> tuple[int, list[int]]:
-    """Double a directory until no bucket holds more than `capacity` links.
+class Index:
+    """Directory and bucket files of one index on a shared folder.
 
-    `counts` has the number of links by `fine`-bit prefix, the finest split.
-    Returns the depth and, per slot of the directory, its bucket: buckets are
-    numbered along the keys.
+    A bucket is named by its prefix behind a leading one bit: bucket b splits
+    into 2b and 2b + 1. `slots` holds the bucket of every prefix of `depth` bits.
     """
-    sums = [0]
-    for p in range(1 << fine):
-        sums.append(sums[-1] + counts.get(p, 0))
-    depth, buckets = 0, [(0, 0)]  # local depth and prefix of each bucket
-
-    def size(local: int, head: int) -> int:
-        width = fine - local
-        return sums[(head + 1) << width] - sums[head << width]
-
-    while True:
-        over = [b for b in buckets if size(*b) > capacity and b[0] < fine]
-        if not over:
-            break
-        if any(local == depth for local, _ in over):
-            depth += 1
-        split = set(over)
-        buckets = [
-            child
-            for b in buckets
-            for child in (((b[0] + 1, 2 * b[1]), (b[0] + 1, 2 * b[1] + 1)) if b in split else (b,))
-        ]
-    slots = [n for n, (local, _) in enumerate(buckets) for _ in range(1 << (depth - local))]
-    return depth, slots
-
-
-class Index:
-    """Directory and bucket files of one index on a shared folder."""
 
-    def __init__(self, path: str, depth: int, slots: list[int]):
-        self.path, self.depth, self.slots = path, depth, slots
+    def __init__(self, spark: SparkSession, path: str, depth: int = 0):
+        self.spark, self.path, self.depth, self.passes = spark, path, depth, 0
+        self.slots = list(range(1 << depth, 2 << depth))
 
     def bucket(self, key: Column) -> Column:
+        """The bucket that the directory gives a key."""
         slot = prefix(key, self.depth).cast("int") + 1
         return F.element_at(F.from_json(F.lit(json.dumps(self.slots)), "array<int>"), slot)
 
-    def write(self, links: DataFrame) -> DataFrame:
-        """Owner tasks sort the links of their key ranges; each writes one bucket file."""
-        spark = links.sparkSession
-        spark.range(len(self.slots)).select(
-            F.col("id").alias("slot"),
-            F.element_at(F.from_json(F.lit(json.dumps(self.slots)), "array<int>"), F.col("id").cast("int") + 1).alias("bucket"),
-            F.lit(self.depth).alias("depth"),
+    def split(self, overfull: dict[int, int]) -> None:
+        """Split each bucket into `2**overfull[bucket]`, doubling the directory as often as that needs."""
+        deepest = max(b.bit_length() - 1 + levels for b, levels in overfull.items())
+        while self.depth < deepest:
+            self.slots = [b for b in self.slots for _ in range(2)]
+            self.depth += 1
+        for slot, b in enumerate(self.slots):
+            if b in overfull:
+                local = b.bit_length() - 1 + overfull[b]
+                self.slots[slot] = 1 << local | slot >> (self.depth - local)
+
+    def owned(self, rows: DataFrame) -> DataFrame:
+        """Rows at the owner tasks of their buckets."""
+        return rows.withColumn("bucket", self.bucket(F.col("key"))).repartition(max(1, len(set(self.slots))), "bucket")
+
+    def _store(self, entries: DataFrame) -> DataFrame:
+        """Owners merge their entries to links, sort them and write; the links of this pass."""
+        links = self.owned(entries).groupBy("bucket", "key", "sha").agg(
+            F.sum("n").alias("n"),
+            F.max("keep_id").alias("keep_id"),
+            F.coalesce(F.max_by("keep_row", "keep_id"), F.min("keep_row")).alias("keep_row"),
+        )
+        at = f"{self.path}/buckets/pass={self.passes}"
+        links.sortWithinPartitions("bucket", "key", "sha").write.parquet(at)
+        self.passes += 1
+        return self.spark.read.schema(links.schema).parquet(at)
+
+    def fill(self, entries: DataFrame, capacity: int, max_depth: int) -> DataFrame:
+        """Store (key, sha, n, keep_id, keep_row) entries; splits until no bucket is overfull. Returns the links."""
+        links = self._store(entries)
+        stored = links
+        while True:
+            # a bucket of one key, or of the finest prefix, cannot split
+            sizes = links.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
+            found = sizes.filter((F.col("n") > capacity) & (F.col("a") < F.col("b"))).select("bucket", "n").collect()
+            over = {}
+            for r in found:
+                levels = min(max_depth - (r["bucket"].bit_length() - 1), math.ceil(math.log2(r["n"] / capacity)))
+                if levels > 0:
+                    over[r["bucket"]] = levels
+            if not over:
+                break
+            self.split(over)
+            full = self.spark.createDataFrame([(b,) for b in over], "bucket int")
+            # only the overfull buckets are read again; their old links no longer lie where the directory points
+            links = self._store(links.join(bounded(full, len(over), 16), "bucket", "left_semi").drop("bucket"))
+            stored = stored.unionByName(links)
+        self.spark.createDataFrame([(n, b) for n, b in enumerate(self.slots)], "slot int, bucket int").withColumn(
+            "depth", F.lit(self.depth)
         ).write.parquet(f"{self.path}/directory")
-        owned = links.withColumn("bucket", self.bucket(F.col("key")))
-        owned = owned.repartitionById(self.slots[-1] + 1, F.col("bucket"))
-        owned.sortWithinPartitions("key", "sha").write.parquet(f"{self.path}/buckets")
-        return spark.read.schema(owned.schema).parquet(f"{self.path}/buckets")
-
-
-def directory(links: DataFrame, path: str, capacity: int, max_depth: int) -> Index:
-    total = links.count()
-    # four bits finer than an even spread needs, so that uneven prefixes can split further
-    fine = min(max_depth, max(0, math.ceil(math.log2(max(1, total / capacity)))) + 4)
-    found = links.groupBy(prefix(F.col("key"), fine).alias("p")).count().collect()
-    depth, slots = grow_directory({r["p"]: r["count"] for r in found}, fine, capacity)
-    return Index(path, depth, slots)
+        return stored.filter(F.col("bucket") == self.bucket(F.col("key")))
 
 
 def exact_groups(
@@ -122,29 +129,33 @@ def exact_groups(
         ),
         "dedup-entries",
     )
-    # copies are counted where they lie, so a text that fills a third of all rows costs a row per task
-    slots = materialise(
-        entries.groupBy("key", "sha").agg(
+    spark = docs.sparkSession
+    # copies that one task saw become one entry
+    local = materialise(
+        entries.groupBy(F.shiftright("row", 33).alias("task"), "key", "sha").agg(
             F.count(F.lit(1)).alias("n"),
             F.max("doc_id").alias("keep_id"),
             F.coalesce(F.max_by("row", "doc_id"), F.min("row")).alias("keep_row"),
-        ),
-        "dedup-slots",
+        ).drop("task"),
+        "dedup-local",
     )
-    path = f"{shared_folder(docs.sparkSession)}/dedup-index-{uuid.uuid4().hex}"
-    index = directory(slots, path, capacity, max_depth)
+    depth = min(max_depth, max(0, math.ceil(math.log2(max(1, local.count() / capacity)))))
+    index = Index(spark, f"{shared_folder(spark)}/dedup-index-{uuid.uuid4().hex}", depth)
+    links = index.fill(local, capacity, max_depth)
 
-    repeated = slots.filter("n > 1").select("key").distinct()
-    n_repeated = slots.filter("n > 1").count()
-    # whole texts meet only where a key repeats; grouping by the text compares its bytes
+    several = links.filter("n > 1")
+    n_repeated = several.count()
+    # whole texts go to the owners only where a key repeats, one per task and text
     texts = docs.select(key.alias("key"), text.alias("text")).join(
-        bounded(repeated, n_repeated, 72), "key", "left_semi"
+        bounded(several.select("key").distinct(), n_repeated, 72), "key", "left_semi"
     )
-    links = texts.groupBy("key", "text").agg(F.count(F.lit(1)).alias("equal"))
-    links = links.groupBy("key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha")).agg(
+    texts = texts.groupBy(F.spark_partition_id().alias("task"), "key", "text").agg(F.count(F.lit(1)).alias("equal"))
+    # the owner of a chain compares its texts byte by byte: grouping by the text does that
+    compared = index.owned(texts).groupBy("bucket", "key", "text").agg(F.sum("equal").alias("equal"))
+    compared = compared.groupBy("bucket", "key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha")).agg(
         F.count(F.lit(1)).alias("texts"), F.max("equal").alias("equal")
     )
-    checked = slots.filter("n > 1").join(links, ["key", "sha"], "left")
+    checked = several.join(compared.drop("bucket"), ["key", "sha"], "left")
     same = F.coalesce((F.col("texts") == 1) & (F.col("equal") == F.col("n")), F.lit(False))
     checked = checked.select(
         "key", "sha",
@@ -152,12 +163,11 @@ def exact_groups(
         F.when(same, F.col("n")).otherwise(F.raise_error(F.lit("texts differ under one digest"))).alias("n"),
         "keep_id", "keep_row",
     )
-    stored = index.write(slots.filter("n = 1").unionByName(checked))
+    groups = materialise(checked, "dedup-groups")
 
-    alone = stored.filter("n = 1").select(
+    alone = links.filter("n = 1").select(
         F.col("keep_id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), F.lit(True).alias("kept"), "sha"
     )
-    groups = stored.filter("n > 1").select("key", "sha", "n", "keep_id", "keep_row")
     members = entries.join(bounded(groups, n_repeated, 160), ["key", "sha"]).select(
         "doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), "sha"
     )

@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators.ordered import ordinal
 from skein.session import materialise
 
 BUCKETS = 256
@@ -119,6 +120,24 @@ def write_learnings(learnings: DataFrame, path: str) -> None:
     learnings.write.mode("append").json(path)
 
 
-def write_artifacts(files: DataFrame, path: str) -> None:
-    """`file_name, body` rows as text, one folder per file name."""
-    files.select("file_name", "body").write.mode("append").partitionBy("file_name").text(path)
+def distinct_names(files: DataFrame, order: str = "body") -> DataFrame:
+    """Files of one name told apart: the second in `order` becomes `name~2.md`, which no slug can be.
+
+    `order` is a text column that tells files of one name apart.
+    """
+    placed = ordinal(files, ["file_name"], [order], F.left(order, F.lit(4)), "_no")
+    name, end = (F.regexp_extract("file_name", r"^(.*?)(\.[^.]*)?$", n) for n in (1, 2))
+    again = F.concat(name, F.lit("~"), (F.col("_no") + 1).cast("string"), end)
+    return placed.withColumn("file_name", F.when(F.col("_no") > 0, again).otherwise(F.col("file_name"))).drop("_no")
+
+
+def write_artifacts(files: DataFrame, path: str, order: str = "body") -> None:
+    """`file_name, body` rows as text, one folder per file name.
+
+    Files written before under the same names are replaced, so a run may be
+    repeated; others stay. Rows of one name become files of their own.
+    """
+    named = distinct_names(files, order).select("file_name", "body")
+    named.repartition("file_name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "file_name"
+    ).text(path)

@@ -122,6 +122,13 @@ def test_learning_files_and_artifacts(spark, tmp_path, write_lines):
     files = spark.createDataFrame([("2026-01-01-x.md", "line one\nline two\n")], "file_name string, body string")
     sinks.write_artifacts(files, str(tmp_path / "files"))
     assert spark.read.text(str(tmp_path / "files"), wholetext=True).filter(F.col("value").startswith("line one\nline two")).count() == 1
+    sinks.write_artifacts(files, str(tmp_path / "files"))  # again: nothing doubles
+    assert [r.value for r in spark.read.text(str(tmp_path / "files")).filter("value <> ''").orderBy("value").collect()] == ["line one", "line two"]
+    same = spark.createDataFrame([("b", "y.md", "second"), ("a", "y.md", "first"), ("c", "z", "third")], "id string, file_name string, body string")
+    sinks.write_artifacts(same, str(tmp_path / "files"), "id")
+    got = {r.file_name: r.value for r in spark.read.text(str(tmp_path / "files")).filter("value NOT LIKE 'line%' AND value <> ''").collect()}
+    assert got == {"y.md": "first", "y~2.md": "second", "z": "third"}
+    assert spark.read.text(str(tmp_path / "files")).filter("value = 'line one'").count() == 1
     for i, end in enumerate(["window_end: 2026-01-08T00:00:00Z", "no date"]):
         write_lines(tmp_path / "w" / f"{i}.md", ["---", "window_start: 2026-01-01T00:00:00Z", end, "---"])
     assert logs.read_window_artifacts(spark, str(tmp_path / "w")).count() == 1

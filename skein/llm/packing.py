@@ -14,6 +14,7 @@ empty table gives no sequence; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,20 +37,31 @@ OPEN_BINS = 1024
 TASK_PIECES = 40_000
 #: rounds after which all bins close; each leaves about a twentieth of its pieces to the next
 ROUNDS = 8
-#: words whose ids a worker remembers (twice as many while it forgets)
+#: words and parts whose ids a worker remembers (twice as many while it forgets)
 CACHE_WORDS = 500_000
 
 #: texts of these characters only can be cut at white space without changing any id
 _PLAIN = regex.compile(r"[\n\r\t\x20-\x7e\xa1-\xac\xae-˿Ͱ-ϿЀ-ӿ‐-‧‰-⁞₠-₿]*")
+#: letters whose lower case is one letter of this class, whatever stands around them
+_LETTERS = "A-Za-zµÀ-ÖØ-öø-įı-ȹȻ-Ƚȿ-ʯЀ-ҁ"
+#: marks that join no letter or digit
+_MARKS = r"!-/:-@\[-`{-~¡-©«¬®-±´¶-¸»¿×÷‐-‧‰-⁞"
+#: texts of these characters only are cut here as the tokenizer cuts them, after lower-casing
+_SIMPLE = regex.compile(f"[\\n\\r\\t 0-9{_LETTERS}{_MARKS}]*")
+_PART = re.compile(f"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[{_MARKS}]+")
+#: parts encoded together
+TOGETHER = 128
 
 
 class Ids(dict):
-    """Word -> its ids as little-endian unsigned 32-bit numbers.
-
-    The tokenizer drops white space and never joins words across it, so a text's
-    ids are those of its words in a row. New words are encoded together, and
-    their character offsets tell whose ids are whose. When the table is full, a
-    word stays only if it is met again before the table fills once more.
+    """Word, or part of one, -> its ids as little-endian unsigned 32-bit numbers.
+
+    The tokenizer lower-cases, cuts words into runs of letters, digits and runs
+    of marks, and never joins tokens across a cut. A text of simple characters is
+    cut into the same parts, which many words share; other texts are cut at
+    white space only. New parts are encoded together, and their character offsets
+    tell whose ids are whose. When the table is full, a part stays only if it is
+    met again before the table fills once more.
     """
 
     def __init__(self, path: str):
@@ -58,38 +70,48 @@ class Ids(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.older: dict[str, bytes] = {}
+        #: tokens that the tokenizer looks for before it cuts
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > CACHE_WORDS:
+    def cut(self, text: str) -> list[str] | None:
+        """Parts whose ids in a row are those of the text; None where it can't be cut."""
+        if _SIMPLE.fullmatch(text):
+            low = text.lower()
+            if not any(a in low for a in self.added):
+                return _PART.findall(low)
+        return text.split() if _PLAIN.fullmatch(text) else None
+
+    def learn(self, parts: set[str]) -> None:
+        if len(self) + len(parts) > CACHE_WORDS:
             self.older = dict(self)
             self.clear()
         new = []
-        for w in words:
-            if w not in self:
-                known = self.older.get(w)
+        for p in parts:
+            if p not in self:
+                known = self.older.get(p)
                 if known is None:
-                    new.append(w)
+                    new.append(p)
                 else:
-                    self[w] = known
-        if not new:
-            return
-        found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        ids = np.array(found.ids, dtype="<u4").tobytes()
-        starts = np.fromiter((a for a, _ in found.offsets), np.int64)
-        lengths = np.fromiter(map(len, new), np.int64, len(new))
-        cuts = (4 * np.searchsorted(starts, np.cumsum(lengths + 1) - lengths - 1)).tolist()
-        for w, a, b in zip(new, cuts, [*cuts[1:], len(ids)], strict=True):
-            self[w] = ids[a:b]
+                    self[p] = known
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4").tobytes()
+            starts = np.fromiter((a for a, _ in found.offsets), np.int64)
+            lengths = np.fromiter(map(len, some), np.int64, len(some))
+            cuts = (4 * np.searchsorted(starts, np.cumsum(lengths + 1) - lengths - 1)).tolist()
+            for p, a, b in zip(some, cuts, [*cuts[1:], len(ids)], strict=True):
+                self[p] = ids[a:b]
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text."""
-        cut = [t.split() if _PLAIN.fullmatch(t) else None for t in texts]
-        self.learn({w for words in cut if words for w in words})
-        for text, words in zip(texts, cut, strict=True):
-            yield self.encode(text) if words is None else b"".join(map(self.__getitem__, words))
+        cut = [self.cut(t) for t in texts]
+        self.learn(set().union(*(parts for parts in cut if parts)))
+        for text, parts in zip(texts, cut, strict=True):
+            yield self.encode(text) if parts is None else b"".join(map(self.__getitem__, parts))
 
 
 _LOADED: dict[str, Ids] = {}

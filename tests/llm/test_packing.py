@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -31,6 +32,21 @@ def test_ids_are_the_tokenizers(spark, tokenizer):
     assert list(ids.of(texts[:50])) == list(ids.of(texts[:50])) and list(ids.of([""])) == [b""]  # nothing new to learn
 
 
+def test_simple_texts_are_cut_as_the_tokenizer_cuts(tokenizer):
+    ids = packing.Ids(WORD_TOKENIZER)
+    simple = [c for c in map(chr, range(0x2100)) if packing._SIMPLE.fullmatch(c)]
+    assert len(simple) > 700 and not {"Σ", "İ", "²", "\u0301", "\xad"} & set(simple)
+    texts = [t for c in simple for t in (c, f"a{c}b", f"({c}t{c}).", f"{c}{c}'{c}", f"1{c}'s", f"N'{c}e\u00e9")]
+    rng = random.Random(5)
+    some = "abSTrevmld'\u00e9\u0416\u00df\u01c5 \n.,;-_<|>\u2013\u20261234"
+    texts += ["".join(rng.choice(some) for _ in range(rng.randrange(1, 40))) for _ in range(6000)]
+    texts += ["'s", "''s", "'S.", "('ll)", "'re", "s'", "'", "...", "<|endoftext|>", "a<|ENDOFTEXT|>b c", "(<|startoftext|>)", "x'", "'x"]
+    for start in range(0, len(texts), 500):
+        part = texts[start : start + 500]
+        for t, got in zip(part, ids.of(part), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_a_full_word_table_gives_the_same_ids(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 40)
     ids = packing.Ids(WORD_TOKENIZER)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.operators import signals as G
 from skein.operators import timeline as L
 from skein.operators import tools as W
-from skein.operators.ordered import top_k
+from skein.operators.ordered import last_before, top_k
 
 # Caps of the cross-session digest.
 PROMPTS, DECISIONS = 5, 3
@@ -135,35 +135,21 @@ def prior_windows(windows: DataFrame) -> DataFrame:
     """For each window the latest one that ended before it starts.
 
     `windows(name, start, end)`. Distinct ends and starts become one stream of
-    instants cut into days: a running maximum finds the latest end inside a
-    day, and one row per day carries the latest end of all earlier days. No
-    window is paired with all others.
+    instants, along which `last_before` finds the latest end. No window is
+    paired with all others, and neither many windows in one instant nor a wide
+    spread of times makes a task larger than others. A window without a start
+    has no prior one; one without an end is nobody's prior.
     """
     done = F.struct(F.col("end"), F.col("name"))
-    ends = windows.groupBy(F.col("end").alias("at")).agg(F.max(done).alias("done"), F.lit(1).alias("kind"))
-    starts = windows.select(F.col("start").alias("at")).distinct().select(
+    ends = windows.filter(F.col("end").isNotNull()).groupBy(F.col("end").alias("at"))
+    ends = ends.agg(F.max(done).alias("done"), F.lit(1).alias("kind"))
+    starts = windows.filter(F.col("start").isNotNull()).select(F.col("start").alias("at")).distinct().select(
         "at", F.lit(None).cast(ends.schema["done"].dataType).alias("done"), F.lit(0).alias("kind")
     )
-    events = ends.unionByName(starts).withColumn("_day", F.to_date("at"))
     # a start sorts before an end of the same instant, so only strictly earlier ends count
-    here = Window.partitionBy("_day").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per calendar day, so this single ordered pass stays small
-    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        ends.groupBy(F.to_date("at").alias("_day"))
-        .agg(F.max("done").alias("best"))
-        .unionByName(starts.select(F.to_date("at").alias("_day"), F.col("done").alias("best")).distinct())
-        .groupBy("_day")
-        .agg(F.max("best").alias("best"))
-        .select(F.col("_day").alias("_d"), F.max("best").over(before).alias("carried"))
-    )
-    found = (
-        events.withColumn("local", F.max("done").over(here))
-        .filter("kind = 0")
-        .join(carried, F.col("_day") == F.col("_d"))
-        .select(F.col("at").alias("start"), F.coalesce("local", "carried").alias("prior"))
-    )
-    return windows.join(found, "start").select(
+    found = last_before(ends.unionByName(starts), ["at", "kind"], "done", "prior")
+    found = found.filter("kind = 0").select(F.col("at").alias("start"), "prior")
+    return windows.join(found, "start", "left").select(
         "name", "start", "end", F.col("prior.name").alias("prior_name"), F.col("prior.end").alias("prior_end")
     )
 

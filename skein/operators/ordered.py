@@ -8,14 +8,19 @@ operators here cut every key into buckets along its order column, work inside
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
+from skein.session import materialise
+
 #: rows of one key that a task sees together when positions are dense
 CHUNK = 1024
 
@@ -121,3 +126,53 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, o
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
+
+
+def ranges_filled(rows: DataFrame, order: Sequence[str], value: str) -> DataFrame:
+    """`rows` cut into ranges of `order` at sampled boundaries, each swept once.
+
+    Adds `_range`, and `_last`, the last non-null `value` before the row in its
+    range. Rows must differ in `order`; then ranges are of like size whatever the
+    spread of the values. A task remembers one row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, last = TaskContext.get().partitionId(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(batch.schema.get_field_index(value))
+            if last is None:
+                last = pa.nulls(1, column.type)
+            known = pa.concat_arrays([last, column])  # row k of the batch is k + 1 here
+            at = np.arange(batch.num_rows + 1)
+            at[1:][~column.is_valid().to_numpy(zero_copy_only=False)] = 0
+            at = np.maximum.accumulate(at)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(batch.num_rows, number, np.int32)), known.take(pa.array(at[:-1]))],
+                [*batch.schema.names, "_range", "_last"],
+            )
+            last = known.take(pa.array(at[-1:]))
+
+    kinds = T.StructType([*rows.schema.fields, T.StructField("_range", T.IntegerType()), T.StructField("_last", rows.schema[value].dataType)])
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, kinds)
+
+
+def last_before(rows: DataFrame, order: Sequence[str], value: str, out: str) -> DataFrame:
+    """The last non-null `value` strictly before each row along `order`, over the whole table.
+
+    Ranges are swept in parallel; one row per range, as many as there are
+    shuffle partitions, carries its last value to the ranges after it. The swept
+    rows are written, so that a range keeps its number when a task runs again.
+    """
+    swept = materialise(ranges_filled(rows, order, value), "ordered-swept")
+    ends = swept.groupBy("_range").agg(
+        F.min(F.struct(*order)).alias("_first"),
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_held"),
+    )
+    earlier = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("_range").alias("_r"), F.last("_held", ignorenulls=True).over(earlier).alias("_carried"))
+    joined = swept.join(F.broadcast(carried), F.col("_range") == F.col("_r"))
+    return joined.select(*rows.columns, F.coalesce("_last", "_carried").alias(out))

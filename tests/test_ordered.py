@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import digest as D
 from skein.operators import learnings as E
+from skein.operators import ordered as O
 from skein.operators import search as Q
 from skein.operators import signals as G
 from skein.operators import timeline as L
@@ -199,3 +200,32 @@ def test_prior_windows(spark):
     for name, start, _ in spans:
         before = [(e, n) for n, _, e in spans if e < start]
         assert got[name] == (max(before)[1] if before else None)
+
+
+def test_prior_windows_without_start_or_end(spark):
+    df = spark.sql(
+        """SELECT * FROM VALUES ('a', timestamp'2020-01-01', timestamp'2020-01-02'), ('b', null, timestamp'2020-01-05'),
+        ('c', timestamp'2020-01-03', null), ('d', timestamp'2020-01-09', timestamp'2020-01-10'), ('e', null, null) AS t(name, start, end)"""
+    )
+    assert {r.name: r.prior_name for r in D.prior_windows(df).collect()} == {"a": None, "b": None, "c": "a", "d": "b", "e": None}
+    assert D.prior_windows(df.limit(0)).count() == 0
+
+
+def test_ranges_are_even_over_any_spread(spark):
+    # most instants in one day, the rest over 300 years
+    at = F.when(F.col("id") % 10 != 0, F.col("id")).otherwise((F.col("id") - 100_000) * 100_000)
+    rows = spark.range(200_000).select(at.alias("at"), F.when(F.xxhash64("id") % 1000 == 0, F.struct("id")).alias("v"))
+    fold = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(fold)
+    spark.conf.set(fold, "false")
+    try:
+        sizes = [r["count"] for r in O.ranges_filled(rows, ["at"], "v").groupBy("_range").count().collect()]
+        got = {r["at"]: r["p"] and r["p"]["id"] for r in O.last_before(rows, ["at"], "v", "p").collect()}
+    finally:
+        spark.conf.set(fold, before)
+    assert len(sizes) > 1 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    last, count = None, 0
+    for r in sorted(rows.collect(), key=lambda r: r["at"]):
+        assert got[r["at"]] == last
+        last, count = (r["v"]["id"] if r["v"] else last), count + 1
+    assert count == len(got) == 200_000

@@ -53,7 +53,7 @@ _PART = re.compile(f"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[{_MARKS}]+")
 TOGETHER = 128
 
 
-class Ids(dict):
+class Ids:
     """Word, or part of one, -> its ids as little-endian unsigned 32-bit numbers.
 
     The tokenizer lower-cases, cuts words into runs of letters, digits and runs
@@ -65,10 +65,10 @@ class Ids(dict):
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         #: tokens that the tokenizer looks for before it cuts
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -85,17 +85,15 @@ class Ids(dict):
         return text.split() if _PLAIN.fullmatch(text) else None
 
     def learn(self, parts: set[str]) -> None:
-        if len(self) + len(parts) > CACHE_WORDS:
-            self.older = dict(self)
-            self.clear()
-        new = []
-        for p in parts:
-            if p not in self:
-                known = self.older.get(p)
-                if known is None:
-                    new.append(p)
-                else:
-                    self[p] = known
+        if len(self.known) + len(parts) > CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, []
+        for p in parts.difference(known):
+            ids = older.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                known[p] = ids
         for at in range(0, len(new), TOGETHER):
             some = new[at : at + TOGETHER]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -104,14 +102,14 @@ class Ids(dict):
             lengths = np.fromiter(map(len, some), np.int64, len(some))
             cuts = (4 * np.searchsorted(starts, np.cumsum(lengths + 1) - lengths - 1)).tolist()
             for p, a, b in zip(some, cuts, [*cuts[1:], len(ids)], strict=True):
-                self[p] = ids[a:b]
+                known[p] = ids[a:b]
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text."""
         cut = [self.cut(t) for t in texts]
         self.learn(set().union(*(parts for parts in cut if parts)))
         for text, parts in zip(texts, cut, strict=True):
-            yield self.encode(text) if parts is None else b"".join(map(self.__getitem__, parts))
+            yield self.encode(text) if parts is None else b"".join(map(self.known.__getitem__, parts))
 
 
 _LOADED: dict[str, Ids] = {}

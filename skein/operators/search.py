@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.functions.stem import porter, stem_array, stem_groups
+from skein.functions.stem import STEM_TAIL, porter, stem_array, stem_groups
 from skein.operators.ordered import chunk_of, top_k
+from skein.session import materialise
 
 # Field weights and ranking constants.
 WEIGHTS = {"user_text": 8.0, "assistant_text": 3.0, "tool_calls": 1.5, "file_paths": 7.0}
@@ -51,11 +54,31 @@ def tokenised(messages: DataFrame, fields: Sequence[str] = tuple(WEIGHTS), stem:
     return arrays.withColumn("dl", length.cast("long"))
 
 
-def _tagged(field: str, only: Sequence[str] | None) -> Column:
-    placed = F.transform(
+def _tagged(field: str) -> Column:
+    return F.transform(
         field, lambda t, i: F.struct(F.lit(field).alias("field"), t.alias("term"), i.alias("pos"))
     )
-    return placed if only is None else F.filter(placed, lambda x: x["term"].isin(list(only)))
+
+
+def _starts(term: Column, prefixes: Sequence[str]) -> Column:
+    """True for terms that begin with one of the prefixes."""
+    return reduce(or_, [F.startswith(term, F.lit(p)) for p in dict.fromkeys(prefixes)], F.lit(False))
+
+
+def _only(placed: Column, stem: bool, terms: Sequence[str], prefixes: Sequence[str]) -> Column:
+    """The placed tokens that are, or stem to, one of `terms` or begin with a prefix.
+
+    Stemming keeps all but the last two letters of a stem from the word, so only
+    words that begin with these reach Python.
+    """
+    wanted = list(dict.fromkeys(terms))
+    heads = [t[:-STEM_TAIL] for t in [*wanted, *prefixes]] if stem else prefixes
+    likely = F.filter(placed, lambda x: x["term"].isin([] if stem else wanted) | _starts(x["term"], heads))
+    if stem:
+        stems = stem_array(F.transform(likely, lambda x: x["term"]))
+        likely = F.zip_with(likely, stems, lambda x, s: F.struct(x["field"].alias("field"), s.alias("term"), x["pos"].alias("pos")))
+        likely = F.filter(likely, lambda x: x["term"].isin(wanted) | _starts(x["term"], prefixes))
+    return likely
 
 
 def build_index(
@@ -63,11 +86,20 @@ def build_index(
     fields: Sequence[str] = tuple(WEIGHTS),
     stem: bool = True,
     only: Sequence[str] | None = None,
+    prefixes: Sequence[str] = (),
 ) -> Index:
-    """Index of all terms, or of the terms in `only` for one search over an archive without an index."""
-    docs = tokenised(messages, fields, stem)
-    tagged = F.flatten(F.array(*[_tagged(f, only) for f in fields]))
-    occurrences = docs.select(*DOC, "dl", F.inline(tagged))
+    """Index of all terms, or, for one search over an archive without an index, of those in `only` or with a prefix.
+
+    The latter drops other tokens inside their arrays and is written once, as
+    a search reads it for its weights, its scores and the corpus.
+    """
+    whole = only is None and not prefixes
+    docs = tokenised(messages, fields, stem and whole)
+    placed = F.flatten(F.array(*[_tagged(f) for f in fields]))
+    if not whole:
+        slim = docs.select(*DOC, "dl", _only(placed, stem, only or (), prefixes).alias("_at"))
+        placed, docs = F.col("_at"), materialise(slim, "search-scan")
+    occurrences = docs.select(*DOC, "dl", F.inline(placed))
     # all occurrences of a (term, message) sit in one input row, so this combines before the shuffle
     postings = occurrences.groupBy("term", *DOC, "dl").agg(
         *[F.count_if(F.col("field") == f).alias(f"tf_{f}") for f in fields],

@@ -285,7 +285,9 @@ def best_snippets(t: Tables) -> DataFrame:
     FROM hits JOIN dfs USING (term), stats GROUP BY session_id, msg_index""",
 )
 def search_prefix(t: Tables) -> DataFrame:
-    return Q.bm25_prefixes(index(t), ["with"], ["th", "ed"]).withColumn("score", F.round("score", 6))
+    terms, prefixes = ["with"], ["th", "ed"]
+    some = Q.build_index(corpus(t), stem=False, only=terms, prefixes=prefixes)
+    return Q.bm25_prefixes(some, terms, prefixes).withColumn("score", F.round("score", 6))
 
 
 @query(

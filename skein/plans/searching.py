@@ -145,7 +145,8 @@ def search_sessions(t: Tables) -> DataFrame:
 
 @query("search_sessions_stemmed")
 def search_sessions_stemmed(t: Tables) -> DataFrame:
-    return Q.search_sessions(index(t, stem=True), all_sessions(t), Q.query_terms(["Editing", "thanes", "with"]))
+    terms = Q.query_terms(["Editing", "thanes", "with"])
+    return Q.search_sessions(Q.build_index(corpus(t), only=terms), all_sessions(t), terms)
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 
 #: largest estimated size of a side that is broadcast
 BROADCAST_BYTES = 32 << 20
+#: what empties the tables that a worker keeps between tasks
+_FORGET: list[Callable[[], None]] = []
+
+
+def kept_by_worker(forget: Callable[[], None]) -> None:
+    _FORGET.append(forget)
+
+
+def forget_tables() -> None:
+    """Empty what stages before this one left in the worker."""
+    for forget in _FORGET:
+        forget()
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -42,10 +54,14 @@ def sampled(share: Column | float, *keys: str) -> Column:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to few rows, so that long texts are turned to Python values a few at a time."""
+    """Arrow batches cut to few rows, so that long texts are turned to Python values a few at a time.
+
+    Memory that Arrow keeps for later goes back after each batch, as workers stay on for other stages.
+    """
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

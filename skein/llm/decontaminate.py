@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded, fresh, pieces, sampled
+from skein.llm.common import bounded, fresh, kept_by_worker, pieces, sampled
 from skein.session import materialise, shared_folder
 
 #: hashed words of the vector space
@@ -100,6 +100,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+kept_by_worker(_WORDS.forget)
 
 
 def word_numbers(text: str) -> np.ndarray:

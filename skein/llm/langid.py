@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import for_learning, held_out, pieces, sampled
+from skein.llm.common import for_learning, forget_tables, held_out, pieces, sampled
 from skein.session import materialise
 
 #: expected number of documents per language that filters are built from
@@ -192,6 +192,7 @@ def known_language(docs: DataFrame, least: float = LEAST, **options) -> DataFram
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         for batch in pieces(batches):
             found = [shared.value.decide(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found]))

@@ -11,7 +11,8 @@ little in common; the rest is confirmed on the whole sets.
 Keys that more than `SMALL_BUCKET` sets have are counted over all rows and put last too, with
 those of the sample; sets that had one among their first get others. In a key all sets meet
 one of them, in rounds with another one each; after that only sets that are still not in one
-component meet each other. A key that very many unlike sets share, all of them without rarer shingles, costs its
+component meet each other. Before that, pairs come from fingerprints of the sets and the covering masks
+of `skein.llm.simhash`, and are confirmed like all others. A key that very many unlike sets share, all of them without rarer shingles, costs its
 pairs.
 
 Defined cases: a null text is the empty text, and empty texts are alike; a text of at most
@@ -32,9 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded, fresh, pieces, sampled
+from skein.llm.common import bounded, forget_tables, fresh, pieces, sampled
 from skein.llm.components import components
-from skein.llm.simhash import shingle_hashes
+from skein.llm.simhash import shingle_hashes, signed
+from skein.llm.simhash import links as covering_links
 from skein.session import discard, materialise
 
 #: words of a shingle
@@ -67,11 +69,19 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return shingles[: len(shingles) + 1 + -4 * len(shingles) // 5] if len(shingles) else shingles
 
 
+def fingerprint(shingles: np.ndarray) -> int:
+    """SimHash of a set: bit b is set if it is set in over half of the shingles (signed)."""
+    counts = np.zeros(64, dtype=np.int64)
+    for lo in range(0, len(shingles), 50_000):
+        part = shingles[lo : lo + 50_000].astype(">u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int32)
+    return signed(int.from_bytes(np.packbits(counts * 2 > len(shingles)).tobytes(), "big"))
+
+
 def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of few rows; memory that Arrow keeps for later goes back, as workers stay on for other stages."""
-    for batch in batches:
-        yield from pieces([batch], 128)
-        pa.default_memory_pool().release_unused()
+    """Pieces of fewer rows, in a worker that gives up the tables of other stages."""
+    forget_tables()
+    yield from pieces(batches, 128)
 
 
 def histogram(shingles: np.ndarray) -> bytes | None:
@@ -111,7 +121,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def _prints(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, text hash h, set number (node), set size n, histogram and prefix keys of rows (doc_id, h, raw)."""
+    """doc_id, text hash h, set number (node), fingerprint, set size n, histogram and prefix keys of rows (doc_id, h, raw)."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,15 +132,16 @@ def _prints(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
                 [
                     batch.column(0), batch.column(1),
                     pa.array([set_number(s) for s in sets], pa.int64()),
+                    pa.array([fingerprint(s) for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([histogram(s) for s in sets], pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "h", "node", "n", "histogram", "keys"],
+                ["doc_id", "h", "node", "fp", "n", "histogram", "keys"],
             )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, h long, node long, n int, histogram binary, keys array<long>")
+    return texts.mapInArrow(run, f"doc_id {kind}, h long, node long, fp long, n int, histogram binary, keys array<long>")
 
 
 def _holding(rows: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -219,6 +230,22 @@ def possible(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, "key").filter(near)
 
 
+def by_masks(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints the covering masks bring together.
+
+    Of the sets with one fingerprint the smallest stands for it, and the others meet that one.
+    """
+    nodes = rows.select("node", "fp").distinct()
+    first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")), "near-fingerprints")
+    met = covering_links(first.select("fp")).distinct()
+    a, b = first.select(F.col("fp").alias("a"), F.col("first").alias("na")), first.select(F.col("fp").alias("b"), F.col("first").alias("nb"))
+    across = met.join(a, "a").join(b, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    inside = nodes.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    pairs = materialise(across.unionByName(inside), "near-masks")
+    discard(first)
+    return pairs
+
+
 def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all sets which a chain of pairs of at least 0.8 connects."""
     keys = rows.select("node", "n", F.posexplode("keys").alias("i", "key"))
@@ -233,21 +260,27 @@ def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
         return df.select("key", *[F.col(x).alias(y + s) for x, y in (("node", ""), ("n", "n"), ("i", "i"), ("c", "c"))])
 
     left, found, n_found = shared.withColumn("c", F.col("node")), None, 0
-    for n in range(ROUNDS):
-        # keys that go together choose different pivots, so a set has several chances to meet its like
-        order = F.xxhash64("node", F.pmod("key", F.lit(PIVOTS)), F.lit(n))
-        pivots = left.groupBy("key").agg(F.min_by("node", order).alias("a")).withColumnRenamed("key", "_key")
-        pivots = left.join(pivots, (F.col("key") == F.col("_key")) & (F.col("node") == F.col("a"))).select(left.columns)
-        star = possible(side(pivots, "a"), side(left, "b")).filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = confirmed(star, rows, docs, f"round-{n}")
+    for n in range(-1, ROUNDS):
+        if n < 0:
+            met = by_masks(rows)
+        else:
+            # keys that go together choose different pivots, so a set has several chances to meet its like
+            order = F.xxhash64("node", F.pmod("key", F.lit(PIVOTS)), F.lit(n))
+            pivots = left.groupBy("key").agg(F.min_by("node", order).alias("a")).withColumnRenamed("key", "_key")
+            pivots = left.join(pivots, (F.col("key") == F.col("_key")) & (F.col("node") == F.col("a"))).select(left.columns)
+            met = possible(side(pivots, "a"), side(left, "b")).filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = confirmed(met, rows, docs, f"round-{n}")
         found = more if found is None else materialise(found.unionByName(more), "near-found")
         before, n_found = n_found, found.count()
         if n_found == before:
+            if n < 0:
+                continue
             break
         known = materialise(components(found), "near-known")
         named = shared.join(bounded(known, known.count(), 48), shared["node"] == known["node"], "left")
         named = materialise(named.select(shared["*"], F.coalesce(known["component"], shared["node"]).alias("c")), "near-named")
-        apart = named.filter("met > 2").groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
+        # sets that are alone with another in a key have met it once a round of keys is over
+        apart = (named if n < 0 else named.filter("met > 2")).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
         left = materialise(named.join(apart.select("key"), "key").select(*shared.columns, "c"), "near-left")
         discard(known, named)
     rest = possible(side(left, "a"), side(left, "b")).filter("a < b AND ca <> cb").select("a", "b")

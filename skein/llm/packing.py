@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import pieces
+from skein.llm.common import kept_by_worker, pieces
 from skein.session import materialise
 
 #: tokens of a sequence
@@ -113,6 +113,7 @@ class Ids:
 
 
 _LOADED: dict[str, Ids] = {}
+kept_by_worker(_LOADED.clear)
 
 
 def loaded(path: str) -> Ids:

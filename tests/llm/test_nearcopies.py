@@ -105,3 +105,22 @@ def test_boilerplate_shared_by_unlike_texts(spark):
     want, _ = brute(dict(enumerate(texts)))
     got = {r["doc_id"]: r["component_id"] for r in nearcopies.groups(cases.documents(spark, texts), 8).collect()}
     assert got == want
+
+
+def test_covering_masks_bring_sets_together(spark):
+    rng = random.Random(3)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(900)] for _ in range(8)]
+    texts = [" ".join(w) for w in words] + [" ".join([*w, "end"]) for w in words]
+    rows = nearcopies.prints(cases.documents(spark, texts))
+    fps = {r["node"]: r["fp"] & (1 << 64) - 1 for r in rows.collect()}
+    near = {(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2}
+    assert near and near <= {(r["a"], r["b"]) for r in nearcopies.by_masks(rows).collect()}
+
+
+def test_fingerprint_of_a_set():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 60_000):
+        hashes = rng.integers(0, 2**64, n, dtype=np.uint64)
+        want = sum(1 << b for b in range(64) if 2 * int((hashes >> np.uint64(b) & np.uint64(1)).sum()) > n)
+        assert nearcopies.fingerprint(hashes) & (1 << 64) - 1 == want
+    assert nearcopies.fingerprint(np.zeros(0, np.uint64)) == 0

@@ -186,3 +186,57 @@ def test_short_items_among_rarer_words(spark):
         want.add((len(texts), item))
         texts.append(" ".join([*junk[:40], *text.split(), *junk[40:]]))
     assert want <= matcher_for(texts, bench, spark)
+
+
+def test_sketch_covers_the_passages_of_every_document(spark):
+    import numpy as np
+
+    words = dec.numbered(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    idf = dec.inverse_frequencies(words)
+    omega, got = dec.sketch(words, idf)
+    want = np.zeros(got.shape)
+    for r in words.collect():
+        _, features, weights = dec.content_of(np.frombuffer(r["words"], np.uint32), idf)
+        for start in dec.passages(len(features)) if len(features) else ():
+            f, w = features[start : start + 2 * dec.HALF], weights[start : start + 2 * dec.HALF].astype(float)
+            np.add.at(want, f, np.outer(w, w @ omega[f]) / (w @ w))
+    assert np.abs(got - want).max() <= 1e-4 * np.abs(want).max()
+    some = dec.sketch(words, idf, 20)[1]
+    assert np.abs(some).sum() < 0.9 * np.abs(got).sum()
+
+
+def test_words_are_numbered_alike_together_and_one_by_one():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(25)
+    signs = "abzAZ09_-.,;!\u00e4\u0130\u03a3\u1e9e\u00a0\u2003\x1c\t\n   "
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(400)]
+    texts += [None, "", " ", "x" * 500 + " y", "-- . _", "\u00e4" * 90, "a" * 48 + " " + "b" * 49, "q " * (dec.TOGETHER // 2)]
+    column = pa.array(["left out", *texts])[1:]
+    numbers, begins = dec.joined(dec.numbers_of(column))
+    for k, text in enumerate(texts):
+        assert np.array_equal(numbers[begins[k] : begins[k + 1]], dec.word_numbers(text or ""))
+    assert dec.joined(dec.numbers_of(column[:0]))[1].tolist() == [0]
+
+
+def test_a_text_keeps_its_items_among_others():
+    """Texts searched together give what each gives alone with every item open to it."""
+    import numpy as np
+
+    rng = random.Random(26)
+    idf = np.ones(dec.SLOTS, dtype=np.float32)
+    bench = [" ".join(f"w{rng.randrange(300)}" for _ in range(n)) for n in (7, 20, 40, 90)]
+    items = dec.Items(list(enumerate(bench)), idf)
+    m = dec.Matcher(idf, items, items.vectors.T)
+    texts = []
+    for n in range(120):
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(200))]
+        if n % 2:
+            own = rng.choice(bench).split()
+            words += [w for w in own if rng.random() < rng.choice((0.35, 0.45, 0.7, 1))]
+        texts.append(dec.word_numbers(" ".join(words)))
+    begins = np.cumsum([0, *map(len, texts)])
+    got = list(m.find_all(np.concatenate(texts), begins))
+    want = [(n, hit) for n, words in enumerate(texts) for hit in m._find(words, np.ones(len(bench), dtype=bool))]
+    assert got == want and len(want) > 30

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import bounded, forget_tables, fresh, kept_by_worker, pieces, sampled
-from skein.session import materialise, shared_folder
+from skein.session import materialise, shared_folder, write
 
 #: hashed words of the vector space
 FEATURES = 1 << 15
@@ -490,7 +490,7 @@ class Matcher:
             return out
         text = np.searchsorted(begins, place, "right") - 1
         size = len(self.holders)
-        step = max(1, (1 << 22) // size)
+        step = max(1, (1 << 20) // size)
         for lo in range(0, len(out), step):
             a, b = np.searchsorted(text, [lo, lo + step])
             rows = min(step, len(out) - lo)
@@ -664,7 +664,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, fit_docs: int | None = F
                         ["doc_id", "item_id", "cosine", "lcs", "answer", "word"],
                     )
 
-        words.mapInArrow(run, schema).write.mode("append").parquet(path)
+        write(words.mapInArrow(run, schema), path, "append")
         shared.unpersist()
     return spark.read.schema(schema).parquet(path) if shared else out
 
@@ -687,7 +687,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, fit_docs: int | Non
                 found = sorted({n for n, _ in shared.value.find_all(*joined(batch.column(1)))})
                 yield batch.select([0]).take(pa.array(found, pa.int64()))
 
-        texts.mapInArrow(run, schema).write.mode("append").parquet(path)
+        write(texts.mapInArrow(run, schema), path, "append")
         shared.unpersist()
     if not shared:
         return docs

@@ -32,8 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
 
 
-#: removes the shuffle files of a query when it has ended, not when the driver happens to collect its garbage
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: while an intermediate result is written
+WRITING = {
+    # removes the shuffle files of a query when it has ended, not when the driver happens to collect its garbage
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    # rows go to Python workers 2 MB at a time, not 10,000 at a time whatever their length; JVM and worker each hold a batch per core
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20),
+}
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -43,19 +48,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     later branches read only the columns they need, and a lost executor re-reads
     files instead of replaying the plan. Its shuffle files go with the write.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
-    stored = spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    write(df, path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored.stored_at = path
     return stored
 
 
+def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write Parquet with the settings of `WRITING`, which are put back."""
+    conf = df.sparkSession.conf
+    before = {key: conf.get(key, None) for key in WRITING}
+    for key, value in WRITING.items():
+        conf.set(key, value)
+    try:
+        df.write.mode(mode).parquet(path)
+    finally:
+        for key, value in before.items():
+            if value is None:
+                conf.unset(key)
+            else:
+                conf.set(key, value)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove results of `materialise` that nothing will read again."""
     for df in tables:

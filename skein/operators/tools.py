@@ -373,6 +373,8 @@ def phase_rollup(calls: DataFrame, messages: DataFrame, ranges: DataFrame) -> Da
     Each range is cut at the chunk grid so that rows meet it on (session, chunk).
     """
     keys = ["session_id", "phase_no"]
+    # three joins read the ranges, so the events are numbered and cut into them once
+    ranges = materialise(ranges, "phase-ranges")
     # two roll-ups read the joined calls, so that join runs once
     joined = materialise(in_ranges(calls, ranges).select(*keys, "tool", "file_path"), "phases")
     per_file = joined.filter("file_path <> ''").groupBy(*keys, "file_path").agg(

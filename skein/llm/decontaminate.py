@@ -227,7 +227,7 @@ def inverse_frequencies(words: DataFrame, common: float = COMMON) -> np.ndarray:
         # slot -1 carries the number of documents
         columns = [pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(seen[at], n))]
         columns += [pa.array(np.append(after[:, k], 0)) for k in range(FOLLOWERS)]
-        yield pa.RecordBatch.from_arrays(columns, ["slot", "n", *names])
+        yield from pieces([pa.RecordBatch.from_arrays(columns, ["slot", "n", *names])], 8192)
 
     names = [f"a{k}" for k in range(FOLLOWERS)]
     found = words.select("words").mapInArrow(run, ", ".join(["slot int", "n long", *[f"{a} long" for a in names]]))
@@ -365,7 +365,7 @@ def sketch(words: DataFrame, idf: np.ndarray, fit_docs: int | None = FIT_DOCS) -
                 sketched(numbers[begins[lo] : begins[hi]], begins[lo : hi + 1] - begins[lo], shared.value, omega, out)
         at = np.flatnonzero(np.abs(out).sum(axis=1))
         values = [pa.array(out[at, k].astype(np.float32)) for k in range(SKETCH)]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *values], ["feature", *names])
+        yield from pieces([pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *values], ["feature", *names])], 8192)
 
     names = [f"y{k}" for k in range(SKETCH)]
     rows = words.select("words").mapInArrow(run, ", ".join(["feature int", *[f"{n} float" for n in names]]))

@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Mapping, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 from operator import or_
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +33,8 @@ IDF_FLOOR = 1e-6
 SNIPPET_TOKENS = 20
 WINDOW_TOKENS = 2000
 WINDOW_RADIUS = 40
+#: hits, and rows of queries, that meet in one task of a batch (expected numbers)
+HIT_ROWS, QUERY_ROWS = 500_000, 200_000
 
 DOC = ("session_id", "msg_index")
 
@@ -261,23 +267,115 @@ def best_sessions(
 
 
 def search_batch(
-    index: Index, queries: DataFrame, weights: Mapping[str, float] = WEIGHTS, k: int = 10
+    index: Index,
+    queries: DataFrame,
+    weights: Mapping[str, float] = WEIGHTS,
+    k: int = 10,
+    hit_rows: int = HIT_ROWS,
+    query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
-    """Many queries at once: `queries(query_id, term)` to the top `k` sessions of each."""
-    wanted = queries.select("query_id", "term").distinct()
+    """Many queries at once: `queries(query_id, term)` to the top `k` sessions of each.
+
+    Blocks of messages meet blocks of queries, each of a bounded number of rows;
+    scores of (query, message) pairs stay inside the task, which returns the best
+    `k` sessions of its messages for each query. A session of the overall best
+    `k` is among those of the block that holds its best message, so none is lost.
+    """
+    wanted = materialise(queries.select("query_id", "term").distinct(), "batch-queries")
     hits = index.postings.join(wanted.select("term").distinct(), "term", "left_semi").select(
         "term", *DOC, "dl", _weighted(index, weights).alias("wtf")
     )
-    plan = wanted.join(_term_weights(index, hits), "term")
+    hits = materialise(hits, "batch-hits")
+    blocks, groups = (max(1, -(-df.count() // rows)) for df, rows in ((hits, hit_rows), (wanted, query_rows)))
     gain = _gain(F.col("idf"), F.col("wtf"), F.col("dl"), F.col("avgdl"))
-    scored = hits.join(plan, "term").groupBy("query_id", *DOC).agg(F.round(F.sum(gain), 6).alias("score"))
-    best = scored.groupBy("query_id", "session_id").agg(
+    scored = hits.join(_term_weights(index, hits), "term").select("term", *DOC, gain.alias("gain"))
+    block = F.pmod(F.xxhash64(*DOC), F.lit(blocks)).alias("block")
+    left = scored.select("*", block, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    right = wanted.select(
+        "*", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
+    )
+
+    def run(some: pa.Table, asked: pa.Table) -> pa.Table:
+        return block_best(some, asked, k)
+
+    kinds = {f.name: f.dataType.simpleString() for f in (*hits.schema, *wanted.schema)}
+    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(
+        run, f"query_id {kinds['query_id']}, session_id {kinds['session_id']}, msg_index {kinds['msg_index']}, score double"
+    )
+    best = met.groupBy("query_id", "session_id").agg(
         F.max("score").alias("score"),
         F.max_by("msg_index", F.struct("score", -F.col("msg_index"))).alias("best_msg_index"),
     )
     return top_k(best, ["query_id"], [F.desc("score"), F.col("session_id")], k, "rank")
 
 
+def rounded(scores: np.ndarray) -> np.ndarray:
+    """Six decimals, half up on the shortest decimal form, as Spark's `round`."""
+    scaled = scores * 1e6
+    out = np.floor(scaled + 0.5) / 1e6
+    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-4):
+        out[i] = float(Decimal(repr(float(scores[i]))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    return out
+
+
+def block_best(hits: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """The best `k` sessions of `hits(term, session_id, msg_index, gain)` for each query of `asked(query_id, term)`.
+
+    Every hit of a query's terms is added up; only then the messages that score
+    at least as well as the best few dozen are told apart by session.
+    """
+    terms = asked["term"].unique()
+    term = pc.index_in(hits["term"], value_set=terms)
+    hits = hits.append_column("t", term).filter(pc.is_valid(term))
+    names = sorted(hits["session_id"].unique().to_pylist(), key=lambda s: (s is not None, s or ""))
+    session = pc.index_in(hits["session_id"], value_set=pa.array(names, hits.schema.field("session_id").type)).to_numpy()
+    order = np.lexsort((hits["msg_index"].to_numpy(), session))
+    session, position = session[order], hits["msg_index"].to_numpy()[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (session[1:] != session[:-1]) | (position[1:] != position[:-1])
+    # messages are numbered by session and position, so smaller numbers win ties
+    doc = np.cumsum(new) - 1
+    session, position = session[new], position[new]
+    term, gain = hits["t"].to_numpy()[order], hits["gain"].to_numpy()[order]
+    order = np.argsort(term, kind="stable")
+    doc, gain, starts = doc[order], gain[order], np.searchsorted(term[order], np.arange(len(terms) + 1))
+    total = np.zeros(len(session))
+
+    of_query: dict[object, list[int]] = {}
+    for q, t in zip(asked["query_id"].to_pylist(), pc.index_in(asked["term"], value_set=terms).to_pylist(), strict=True):
+        of_query.setdefault(q, []).append(t)
+    found: list[tuple[object, np.ndarray, np.ndarray]] = []
+    for q, ts in of_query.items():
+        spans = [slice(starts[t], starts[t + 1]) for t in sorted(ts)]
+        docs = np.concatenate([doc[s] for s in spans])
+        for s in spans:
+            total[doc[s]] += gain[s]
+        scores = total[docs]
+        total[docs] = 0
+        first = 32 * k
+        while len(docs):
+            least = np.partition(scores, -first)[-first] if first < len(docs) else -np.inf
+            near = scores >= least - 2e-6
+            some, at = np.unique(docs[near], return_index=True)
+            value = rounded(scores[near][at])
+            order = np.lexsort((some, -value))
+            _, at = np.unique(session[some[order]], return_index=True)
+            top = order[np.sort(at)[:k]]
+            # what was left out rounds to less than this
+            if first >= len(docs) or np.count_nonzero(value[top] >= least - 1e-6) == k:
+                found.append((q, some[top], value[top]))
+                break
+            first *= 8
+    docs = np.concatenate([np.zeros(0, np.int64), *(d for _, d, _ in found)])
+    return pa.table({
+        "query_id": pa.array([q for q, d, _ in found for _ in d], asked.schema.field("query_id").type),
+        "session_id": pa.array([names[s] for s in session[docs]], hits.schema.field("session_id").type),
+        "msg_index": pa.array(position[docs], hits.schema.field("msg_index").type),
+        "score": np.concatenate([np.zeros(0), *(v for _, _, v in found)]),
+    })
+
+
 def match_boolean(
     index: Index,
     all_of: Sequence[str] = (),

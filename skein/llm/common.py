@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 #: what empties the tables that a worker keeps between tasks
 _FORGET: list[Callable[[], None]] = []
+#: glibc keeps what was freed unless it is asked; other C libraries have no such call
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def kept_by_worker(forget: Callable[[], None]) -> None:
@@ -19,9 +22,11 @@ def kept_by_worker(forget: Callable[[], None]) -> None:
 
 
 def forget_tables() -> None:
-    """Empty what stages before this one left in the worker."""
+    """Empty what stages before this one left in the worker, and give the C library's free memory back."""
     for forget in _FORGET:
         forget()
+    if _TRIM:
+        _TRIM(0)
 
 
 def text_or_empty(name: str = "text") -> Column:

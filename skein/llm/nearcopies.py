@@ -10,8 +10,8 @@ little in common; the rest is confirmed on the whole sets.
 
 Keys that more than `SMALL_BUCKET` sets have are counted over all rows and put last too, with
 those of the sample; sets that had one among their first get others. In a key all sets meet
-one of them, in rounds with another one each; after that only sets that are still not in one
-component meet each other. Before that, pairs come from fingerprints of the sets and the covering masks
+one of them, in rounds with another one each, until a round finds few new links; after
+that only sets that are still not in one component meet each other. Before that, pairs come from fingerprints of the sets and the covering masks
 of `skein.llm.simhash`, and are confirmed like all others. A key that very many unlike sets share, all of them without rarer shingles, costs its
 pairs.
 
@@ -47,6 +47,8 @@ SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4000, 5, 200_000
 SMALL_BUCKET = 64
 #: sets that the keys of a group of near copies choose among themselves to be met first, and rounds of that at most
 PIVOTS, ROUNDS = 4, 5
+#: share of all links that a round must find to be followed by another
+LEAST_NEW = 0.02
 
 
 def shingle_set(raw: bytes) -> np.ndarray:
@@ -280,9 +282,13 @@ def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
         named = shared.join(bounded(known, known.count(), 48), shared["node"] == known["node"], "left")
         named = materialise(named.select(shared["*"], F.coalesce(known["component"], shared["node"]).alias("c")), "near-named")
         # sets that are alone with another in a key have met it once a round of keys is over
-        apart = (named if n < 0 else named.filter("met > 2")).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
-        left = materialise(named.join(apart.select("key"), "key").select(*shared.columns, "c"), "near-left")
-        discard(known, named)
+        apart = (named if n < 0 else named.filter("met > 2")).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+        apart = materialise(apart.filter("lo <> hi").select("key"), "near-apart")
+        left = materialise(named.join(bounded(apart, apart.count(), 40), "key").select(*shared.columns, "c"), "near-left")
+        discard(known, named, apart)
+        # the rest compares what is left, so another round must be worth its jobs
+        if n >= 0 and n_found - before < LEAST_NEW * n_found:
+            break
     rest = possible(side(left, "a"), side(left, "b")).filter("a < b AND ca <> cb").select("a", "b")
     found = found.unionByName(confirmed(rest, rows, docs, "rest"))
     discard(shared)

@@ -107,6 +107,18 @@ def test_boilerplate_shared_by_unlike_texts(spark):
     assert got == want
 
 
+def test_rounds_that_find_few_links_are_the_last(spark, monkeypatch):
+    rng = random.Random(11)
+    footer = " ".join(f"f{i}" for i in range(30))
+    texts = [footer + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(3, 12))) for _ in range(150)]
+    rounds, confirmed = [], nearcopies.confirmed
+    monkeypatch.setattr(nearcopies, "confirmed", lambda *a: rounds.append(a[-1]) or confirmed(*a))
+    monkeypatch.setattr(nearcopies, "LEAST_NEW", 1.1)
+    want, _ = brute(dict(enumerate(texts)))
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.groups(cases.documents(spark, texts), 8).collect()}
+    assert got == want and rounds in (["round--1", "round-0", "rest"], ["round--1", "round-0", "round-1", "rest"])
+
+
 def test_covering_masks_bring_sets_together(spark):
     rng = random.Random(3)
     words = [[f"w{rng.randrange(10**6)}" for _ in range(900)] for _ in range(8)]

@@ -1,10 +1,13 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
+from skein.llm import components as stars
 from skein.llm import simhash
 from skein.llm.components import components
+from skein.session import materialise
 from tests.llm import cases
 
 
@@ -98,6 +101,23 @@ def test_components_of_a_long_path(spark):
     assert all(got[i] == 0 for i in range(201)) and got[501] == 500
 
 
+@pytest.mark.parametrize("together", [3, 100_000])
+def test_few_edges_are_settled_without_rounds(spark, monkeypatch, together):
+    written = []
+    monkeypatch.setattr(stars, "materialise", lambda df, name: written.append(name) or materialise(df, name))
+    rng = random.Random(4)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(70, 70), (-5, 90), (90, -5)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    near = {x: {x} for p in pairs for x in p}
+    for a, b in pairs:
+        both = near[a] | near[b]
+        for x in both:
+            near[x] = both
+    got = {r["node"]: r["component"] for r in components(edges, together=together).collect()}
+    assert got == {x: min(all_of) for x, all_of in near.items() if len(all_of) > 1}
+    assert (written == ["components-0", "components-1"]) == (together > 3)
+
+
 def test_empty(spark):
     assert simhash.near_groups(cases.empty(spark)).count() == 0
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import bounded, forget_tables, fresh, kept_by_worker, pieces, sampled
-from skein.session import materialise, shared_folder, write
+from skein.session import gathered, materialise, shared_folder, write
 
 #: hashed words of the vector space
 FEATURES = 1 << 15
@@ -233,7 +233,7 @@ def inverse_frequencies(words: DataFrame, common: float = COMMON) -> np.ndarray:
     found = words.select("words").mapInArrow(run, ", ".join(["slot int", "n long", *[f"{a} long" for a in names]]))
     found = found.groupBy("slot").agg(F.sum("n").alias("n"), *[F.sum(a).alias(a) for a in names])
     places = sum((F.col(a) for a in names[1:]), F.col(names[0]))
-    found = found.select("slot", "n", F.greatest(*names).alias("top"), places.alias("places")).toArrow()  # SLOTS + 1 rows at most
+    found = gathered(found.select("slot", "n", F.greatest(*names).alias("top"), places.alias("places")))  # SLOTS + 1 rows at most
     at, n, top, places = (found[c].to_numpy() for c in ("slot", "n", "top", "places"))
     total = int(n[at == -1].sum())
     idf = np.full(SLOTS, np.log(1.0 + total), dtype=np.float32)
@@ -369,7 +369,7 @@ def sketch(words: DataFrame, idf: np.ndarray, fit_docs: int | None = FIT_DOCS) -
 
     names = [f"y{k}" for k in range(SKETCH)]
     rows = words.select("words").mapInArrow(run, ", ".join(["feature int", *[f"{n} float" for n in names]]))
-    sums = rows.groupBy("feature").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # FEATURES rows at most
+    sums = gathered(rows.groupBy("feature").agg(*[F.sum(n).alias(n) for n in names]))  # FEATURES rows at most
     y = np.zeros((FEATURES, SKETCH))
     if sums.num_rows:
         y[sums["feature"].to_numpy()] = np.stack([sums[n].to_numpy() for n in names], axis=1)

@@ -186,7 +186,8 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 def known_language(docs: DataFrame, least: float = LEAST, **options) -> DataFrame:
     """Rows of `docs` whose text is in some learned language, all columns kept.
 
-    The verdict is computed beside the row, so that nothing is joined.
+    The verdict is computed beside the row, so that nothing is joined. The rows are written
+    here, as whole texts reach workers 10,000 at a time otherwise, and the filters go.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, **options))
     at = docs.columns.index("text")
@@ -197,4 +198,6 @@ def known_language(docs: DataFrame, least: float = LEAST, **options) -> DataFram
             found = [shared.value.decide(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found]))
 
-    return docs.mapInArrow(run, docs.schema)
+    known = materialise(docs.mapInArrow(run, docs.schema), "langid-known")
+    shared.unpersist()
+    return known

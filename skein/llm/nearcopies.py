@@ -37,7 +37,7 @@ from skein.llm.common import bounded, forget_tables, fresh, pieces, sampled
 from skein.llm.components import components
 from skein.llm.simhash import shingle_hashes, signed
 from skein.llm.simhash import links as covering_links
-from skein.session import discard, materialise
+from skein.session import discard, gathered, materialise
 
 #: words of a shingle
 SHINGLE = 5
@@ -118,7 +118,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
     some = _raw(docs).filter(sampled(share, "h")).select("raw").mapInArrow(run, "s long")
     counts = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
-    top = counts.orderBy(F.desc("n"), "s").limit(MOST_FREQUENT).select("s").toArrow()["s"].to_numpy()
+    top = gathered(counts.orderBy(F.desc("n"), "s").limit(MOST_FREQUENT).select("s"))["s"].to_numpy()
     return np.sort(top.astype(np.int64).view(np.uint64))
 
 

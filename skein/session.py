@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
 
 
-#: while an intermediate result is written
+#: while an intermediate result is written or gathered
 WRITING = {
     # removes the shuffle files of a query when it has ended, not when the driver happens to collect its garbage
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
@@ -55,14 +58,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return stored
 
 
-def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write Parquet with the settings of `WRITING`, which are put back."""
-    conf = df.sparkSession.conf
+@contextmanager
+def _writing(spark: SparkSession) -> Iterator[None]:
+    """The settings of `WRITING`, which are put back."""
+    conf = spark.conf
     before = {key: conf.get(key, None) for key in WRITING}
     for key, value in WRITING.items():
         conf.set(key, value)
     try:
-        df.write.mode(mode).parquet(path)
+        yield
     finally:
         for key, value in before.items():
             if value is None:
@@ -71,6 +75,18 @@ def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
                 conf.set(key, value)
 
 
+def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write Parquet with the settings of `WRITING`."""
+    with _writing(df.sparkSession):
+        df.write.mode(mode).parquet(path)
+
+
+def gathered(df: DataFrame) -> pa.Table:
+    """A result of few rows at the driver, whatever its tasks read, with the settings of `WRITING`."""
+    with _writing(df.sparkSession):
+        return df.toArrow()
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove results of `materialise` that nothing will read again."""
     for df in tables:

@@ -102,9 +102,9 @@ def _alive(spark: SparkSession, folder: str, rows: Sequence[Mapping], part: str)
     clean, marked = [r for r in rows if not r["dead"]], [r for r in rows if r["dead"]]
     kept = _tagged(spark, folder, clean, part)
     if marked:
-        gone = _deleted(spark, folder, marked)
-        if sum(r["dead"] for r in marked) <= BROADCAST_ROWS:
-            gone = F.broadcast(gone)
+        # Spark would go by the size of the files, which hold millions of deletions in a few MB
+        few = sum(r["dead"] for r in marked) <= BROADCAST_ROWS
+        gone = _deleted(spark, folder, marked).hint("broadcast" if few else "merge")
         left = _tagged(spark, folder, marked, part).join(gone, ["segment", *DOC], "left_anti")
         kept = left if kept is None else kept.unionByName(left)
     return kept

@@ -63,6 +63,25 @@ def test_append_delete_merge_equal_a_fresh_index(spark, tmp_path):
     assert scores(segments.read(spark, str(tmp_path / "other"))) == fresh(spark, swapped)
 
 
+def test_deletions_are_broadcast_by_their_number(spark, tmp_path, monkeypatch):
+    folder, rows = str(tmp_path / "index"), [(f"s{n % 9}", n, text(n)) for n in range(60)]
+    segments.append(messages(spark, rows), folder, stem=False)
+    segments.delete(spark.createDataFrame([("s1",), ("s2",)], "session_id string"), folder)  # 14 messages in a few KB
+    left = [r for r in rows if r[0] not in ("s1", "s2")]
+    for most, join in ((14, "BroadcastHashJoin"), (13, "SortMergeJoin")):
+        monkeypatch.setattr(segments, "BROADCAST_ROWS", most)
+        for part in ("docs", "postings"):
+            kept = segments._alive(spark, folder, segments._rows(spark, folder)[1], part)
+            plan = kept._jdf.queryExecution().executedPlan().toString()
+            assert [line.split()[1] for line in plan.splitlines() if "LeftAnti" in line] == [join]
+        assert scores(segments.read(spark, folder)) == fresh(spark, left)
+    segments.replace(messages(spark, [("s3", 3, "red dog")]), spark.createDataFrame([("s3",)], "session_id string"), folder, stem=False)
+    left = [r for r in left if r[0] != "s3"] + [("s3", 3, "red dog")]
+    assert scores(segments.read(spark, folder)) == fresh(spark, left)
+    segments.rebuilt(spark, folder, str(tmp_path / "other"))
+    assert scores(segments.read(spark, str(tmp_path / "other"))) == fresh(spark, left)
+
+
 def test_a_writer_that_comes_second_fails(spark, tmp_path):
     folder = str(tmp_path / "index")
     segments.append(messages(spark, [("a", 0, "red")]), folder, stem=False)
